@@ -53,13 +53,14 @@ def words(texts: pa.Array) -> Pieces:
     return _encode(_LOWER[data[solid]], rank[first], before[at])
 
 
-def chunks(texts: pa.Array) -> Pieces:
+def chunks(texts: pa.Array, lower: bool = False, bare: bool = False) -> Pieces:
     """Pieces between which no match of the usual pre-tokenising patterns (runs of letters, digits,
     signs or white space, a space going with what follows) can reach.
 
     A piece begins at a white-space byte after a character that surely is none, after a lone line
     feed, tab or the like between such characters, and where letters, digits and signs of ASCII or
-    Latin-1 meet (but for a letter after an apostrophe). Where it can't be told cheaply, the piece goes on."""
+    Latin-1 meet (but for a letter after an apostrophe). Where it can't be told cheaply, the piece goes on.
+    lower: A-Z as a-z. bare: without the white-space byte that a piece begins with, which may leave it empty."""
     data, at = _buffer(texts)
     n = len(data)
     if not n:
@@ -85,7 +86,13 @@ def chunks(texts: pa.Array) -> Pieces:
     begin[begins] = True
     # what follows a text's first byte was judged by the text before it only if it began a lone piece, which stays exact
     before = np.concatenate(([0], np.cumsum(begin)))
-    return _encode(data, np.flatnonzero(begin), before[at])
+    starts = np.flatnonzero(begin)
+    if bare:
+        keep = np.ones(n, bool)
+        keep[starts[space[starts]]] = False
+        starts = (np.cumsum(keep) - keep)[starts]
+        data = data[keep]
+    return _encode(_LOWER[data] if lower else data, starts, before[at])
 
 
 def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,3 +120,16 @@ class Memory(dict):
             self.clear()
         self[key] = value
         return value
+
+    def many(self, keys: list, make) -> list:
+        """Values of the keys; make gets all new ones at once."""
+        values = [self.get(k) if k in self else self.old.get(k) for k in keys]
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            for i, v in zip(missing, make([keys[i] for i in missing])):
+                values[i] = v
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(keys, values))
+        return values

@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, topk, warc
+from . import bpe, langid, line_dedup, media, packing, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.col("source").alias("host"), "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -22,6 +28,15 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(_table(spark, sf_dir, "documents"))
+    return langid.identify_pages(_table(spark, sf_dir, "pages"), model).withColumn("posterior", F.round("posterior", 6))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents"))
 
@@ -30,9 +45,31 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_top_k, op9_media, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op4_top_k, op5_packing, op8_language_id, op9_media, op10_warc)}
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
+), seen AS (
+  SELECT source, trim(line) AS line, count(DISTINCT r) AS pages FROM l WHERE trim(line) <> '' GROUP BY 1, 2
+), total AS (
+  SELECT source, count(*) AS n FROM d GROUP BY 1
+), bad AS (
+  SELECT s.source, s.line FROM seen s JOIN total t ON s.source IS NOT DISTINCT FROM t.source
+  WHERE s.pages >= 5 AND s.pages / CAST(t.n AS DOUBLE) > 0.05
+), marked AS (
+  SELECT l.*, b.line IS NOT NULL AS out FROM l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.line
+), kept AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE out) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT out), '') AS text
+  FROM marked GROUP BY 1
+)
+SELECT d.doc_id, d.source AS host, k.n_lines, k.n_removed, length(k.text) AS kept_chars, md5(k.text) AS kept_md5
+FROM kept k JOIN d USING (r)
+""",
     "op4_top_k": """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q

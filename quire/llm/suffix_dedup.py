@@ -273,3 +273,20 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = df.schema[id_col].dataType.simpleString()
     rows = with_runs(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text")
     return rows.select("id", "text", "starts", "ends").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with the repeated runs taken out of its texts; what is left of a character that was cut through goes too."""
+    columns = df.columns
+    rows = with_runs(df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), text_col)
+    names = [f"c{i}" for i in range(len(columns))]
+    at = columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(names[at]).to_pylist()
+            left = [t if not s else kept(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in zip(texts, batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if n == names[at] else batch.column(n) for n in names], names=names)
+
+    schema = ", ".join(f"{n} {rows.schema[c].dataType.simpleString()}" for n, c in zip(names, columns))
+    return rows.select(*[F.col(f"`{c}`") for c in columns], "starts", "ends").toDF(*names, "starts", "ends").mapInArrow(run, schema).toDF(*columns)

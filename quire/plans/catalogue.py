@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.functions.numbers import fixed
-from quire.operators import claim, fonts, lines, ocr, reviews
+from quire.operators import blocks, claim, fonts, lines, ocr, profiles, reviews, styles, tables
 from quire.plans import sql as q
 from quire.sources import adapters as a
 
@@ -357,3 +357,111 @@ SELECT job, substring(sha256('pageCount=' || count(*) || ';' || coalesce(string_
 def q28(s, d):
     p = _fonts(s, d).groupBy("job", "page").agg(F.concat(F.count("*").cast("string"), F.lit("x"), F.min("seq").cast("string")).alias("bounds"), F.collect_set(fonts.clean_name(F.col("base_font"))).alias("fonts"))
     return fonts.fingerprint(p)
+
+
+# profiles, styles, corrections, ordered operators
+
+
+def _learning(s: SparkSession, d: str) -> DataFrame:
+    f = _fixes(s, d)
+    e = F.col("seq")
+    tag = F.when(f["type"] == "tag-change", F.when(e % 3 == 0, "artifact").otherwise("h1"))
+    none = lambda k: F.lit(None).cast(k)
+    return f.select(
+        F.col("job").alias("fingerprint"), "ts", "seq", "type", (e % 11 - 5).cast("double").alias("dx"), (e % 7 - 3).cast("double").alias("dy"), tag.alias("tag"), (e % 12 + 10).cast("double").alias("size"),
+        none("boolean").alias("indented"), none("double").alias("x"), none("double").alias("margin"), none("double").alias("prev_dy"), none("double").alias("text_indent"),
+    )
+
+
+def _toward(now: str, new: str) -> str:
+    return q.r(f"(0.85::DOUBLE * ({now}) + (1 - 0.85::DOUBLE) * ({new}))", 3)
+
+
+@query(
+    "q32_profile_fold",
+    q.with_(
+        q.REVIEWS,
+        f"""
+o AS (SELECT job, seq, type, (seq % 11 - 5)::DOUBLE AS dx, (seq % 7 - 3)::DOUBLE AS dy, (seq % 12 + 10)::DOUBLE AS size, row_number() OVER (PARTITION BY job ORDER BY ts, seq) AS i FROM fixes),
+w AS (SELECT job, 0::BIGINT AS i, 0.0::DOUBLE AS ox, 0.0::DOUBLE AS oy, 0.5::DOUBLE AS t, 18.0::DOUBLE AS h1 FROM (SELECT DISTINCT job FROM fixes)
+  UNION ALL SELECT o.job, o.i, CASE WHEN type = 'move' AND abs(dx) > 2 THEN {_toward('ox', 'ox + dx')} ELSE ox END, CASE WHEN type = 'move' AND abs(dy) > 2 THEN {_toward('oy', 'oy + dy')} ELSE oy END,
+    CASE WHEN type = 'delete' THEN {_toward('t', 'greatest(0.1::DOUBLE, t - 0.03::DOUBLE)')} WHEN type = 'tag-change' AND seq % 3 = 0 THEN {_toward('t', 'greatest(0.1::DOUBLE, t - 0.05::DOUBLE)')} ELSE t END,
+    CASE WHEN type = 'tag-change' AND seq % 3 <> 0 THEN {_toward('h1', 'size')} ELSE h1 END
+  FROM w JOIN o ON o.job = w.job AND o.i = w.i + 1)""",
+        recursive=True,
+    )
+    + "SELECT job AS fingerprint, i AS samples, ox AS offset_x, oy AS offset_y, t AS artifact, h1 FROM w QUALIFY row_number() OVER (PARTITION BY job ORDER BY i DESC) = 1",
+)
+def q32(s, d):
+    return profiles.fold(_learning(s, d)).select("fingerprint", "samples", "offset_x", "offset_y", "artifact", "h1")
+
+
+@query("q30_style_ids", q.with_(q.TOKENS) + ", c AS (SELECT 'w' || (page % 5) AS prefix, 'font-size:' || size::INT || ';weight:' || CASE WHEN bold THEN 700 ELSE 400 END AS css, min((page, ln, pos)) AS first FROM words GROUP BY 1, 2) SELECT prefix, css, row_number() OVER (PARTITION BY prefix ORDER BY first, css) AS id FROM c")
+def q30(s, d):
+    css = F.concat(F.lit("font-size:"), F.col("size").cast("int").cast("string"), F.lit(";weight:"), F.when(F.col("bold"), "700").otherwise("400"))
+    w = _words(s, d).select(F.concat(F.lit("w"), (F.col("page") % 5).cast("string")).alias("prefix"), css.alias("css"), F.struct("page", "ln", "pos").alias("seq"))
+    return styles.style_ids(w).withColumn("id", F.col("id").cast("long"))
+
+
+CORRECTIONS = """
+corr AS (SELECT CASE event_id % 3 WHEN 0 THEN 'span' WHEN 1 THEN 'page' ELSE 'book' END AS scope, event_id AS seq, user_id AS page, 0 AS ln, event_id % 5 AS pos, 10.0::DOUBLE + event_id % 4 * 3 AS size, event_id % 2 = 0 AS bold, (event_id % 5 - 2)::DOUBLE AS top, (event_id % 7 - 3)::DOUBLE AS lft, (event_id % 4)::DOUBLE / 4 AS spacing FROM events),
+c_s AS (SELECT page, ln, pos, sum(top) AS top, sum(lft) AS lft, max((seq, spacing)) FILTER (WHERE spacing > 0) AS last FROM corr WHERE scope = 'span' GROUP BY 1, 2, 3),
+c_p AS (SELECT page, size, bold, sum(top) AS top, sum(lft) AS lft, max((seq, spacing)) FILTER (WHERE spacing > 0) AS last FROM corr WHERE scope = 'page' GROUP BY 1, 2, 3),
+c_b AS (SELECT size, bold, sum(top) AS top, sum(lft) AS lft, max((seq, spacing)) FILTER (WHERE spacing > 0) AS last FROM corr WHERE scope = 'book' GROUP BY 1, 2)"""
+
+
+@query(
+    "q29_corrections",
+    q.with_(q.TOKENS, CORRECTIONS)
+    + """SELECT v.page, v.ln, v.pos, coalesce(s.top, 0) + coalesce(p.top, 0) + coalesce(b.top, 0) AS top, coalesce(s.lft, 0) + coalesce(p.lft, 0) + coalesce(b.lft, 0) AS "left",
+  coalesce(list_max(list_filter([s.last, p.last, b.last], lambda x: x IS NOT NULL))[2], 0) AS spacing
+FROM words v LEFT JOIN c_s s ON s.page = v.page AND s.ln = v.ln AND s.pos = v.pos LEFT JOIN c_p p ON p.page = v.page AND p.size = v.size AND p.bold = v.bold LEFT JOIN c_b b ON b.size = v.size AND b.bold = v.bold""",
+)
+def q29(s, d):
+    e = F.col("event_id")
+    c = a.table(s, d, "events").select(
+        F.when(e % 3 == 0, "span").when(e % 3 == 1, "page").otherwise("book").alias("scope"), e.alias("seq"), F.col("user_id").alias("page"), F.lit(0).alias("ln"), (e % 5).cast("int").alias("pos"),
+        (e % 4 * 3 + 10).cast("double").alias("size"), (e % 2 == 0).alias("bold"), (e % 5 - 2).cast("double").alias("top"), (e % 7 - 3).cast("double").alias("left"), ((e % 4) / 4).cast("double").alias("spacing"),
+    )
+    return styles.corrected(_words(s, d), c).select("page", "ln", "pos", "top", "left", "spacing")
+
+
+@query(
+    "q15_rule_tags",
+    q.with_(q.TOKENS)
+    + ", s AS (SELECT page, max(x + w) AS width FROM words GROUP BY 1) SELECT page, CASE WHEN pos = 1 THEN 'p' WHEN size >= 18 THEN 'h1' WHEN size >= 14 THEN 'h2' WHEN size >= 12 THEN 'h3' WHEN w > width / 2 THEN 'p' ELSE 'span' END AS tag, count(*) AS n FROM words JOIN s USING (page) GROUP BY 1, 2",
+)
+def q15(s, d):
+    w = _words(s, d)
+    sizes = w.groupBy("page").agg(F.max(F.col("x") + F.col("w")).alias("width"))
+    tagged = w.join(sizes, "page").withColumn("tag", blocks.predict_tag(F.lit(0.8), F.col("size"), F.col("w"), F.col("width"), F.col("pos") == 1))
+    return tagged.where(blocks.usable(F.col("text"), F.col("tag"), F.col("w"), F.col("h"))).groupBy("page", "tag").agg(F.count("*").alias("n"))
+
+
+@query("q33_median_lines")
+def q33(s, d):
+    return lines.median_lines(_words(s, d).select("page", "ln", "pos", "x", "y", "h")).select("page", "ln", "pos", "line")
+
+
+@query("q35_table_grid")
+def q35(s, d):
+    return tables.grid(_claimed(s, d).where("tag = 'table'"))
+
+
+@query("q36_span_merge")
+def q36(s, d):
+    w = _words(s, d)
+    spans = w.join(lines.left_margin(w), "page").select("page", (F.col("ln").cast("long") * 100000 + F.col("pos")).alias("seq"), "margin", "x", "y", "w", "h", "text", "size", F.when(F.col("bold"), "b").otherwise("r").alias("font"), F.lit(0.0).alias("rotation"))
+    return blocks.merge_spans(spans, y_band=5.0, x_gap=60.0)
+
+
+@query("q37_fix_application")
+def q37(s, d):
+    none = lambda k: F.lit(None).cast(k)
+    held = a.lines(_words(s, d)).select("page", F.col("ln").cast("long").alias("id"), "x", "y", "w", "h", "text", F.lit("p").alias("tag"), "size")
+    e = F.col("seq")
+    f = _fixes(s, d).select(
+        F.col("reviewer").alias("page"), "seq", "type", (e % 6).alias("block"), (e % 6 + 1).alias("second"), F.when(F.col("type") == "move", (e % 50).cast("double")).alias("x"), none("double").alias("y"), none("double").alias("w"), none("double").alias("h"),
+        F.when(F.col("type") == "text-correct", "corrected").alias("text"), F.when(F.col("type") == "tag-change", "h1").alias("tag"), none("double").alias("size"),
+    )
+    return blocks.apply_fixes(held, f)

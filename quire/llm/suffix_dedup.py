@@ -32,7 +32,7 @@ from .common import bounded_arrow, join_sized, materialise, text_array, text_bat
 LENGTH = 200
 GRAM = 48
 GROUP = 8192
-PART = 8 << 20
+PART = 2 << 20
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -244,10 +244,9 @@ def repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def with_runs(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with starts and ends of the repeated runs of bytes of each text; null where there are none."""
+    """df with starts and ends of the repeated runs of bytes of each text; null where there are none. df has no columns k1, k2, starts and ends."""
     found = materialise(repeats(df, text_col), "repeats")
-    bare = df.drop("k1", "k2", "starts", "ends")
-    return join_sized(keyed(bare, text_col), found, ["k1", "k2"], "left").drop("k1", "k2")
+    return join_sized(keyed(df, text_col), found, ["k1", "k2"], "left").drop("k1", "k2")
 
 
 def kept(raw: bytes, starts: list[int] | None, ends: list[int] | None) -> bytes:
@@ -278,9 +277,10 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def cut_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the repeated runs taken out of its texts; what is left of a character that was cut through goes too."""
     columns = df.columns
-    rows = with_runs(df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), text_col)
     names = [f"c{i}" for i in range(len(columns))]
     at = columns.index(text_col)
+    rows = df.toDF(*names)
+    rows = with_runs(rows.withColumn(names[at], F.coalesce(F.col(names[at]).cast("string"), F.lit(""))), names[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,5 +288,5 @@ def cut_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
             left = [t if not s else kept(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in zip(texts, batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if n == names[at] else batch.column(n) for n in names], names=names)
 
-    schema = ", ".join(f"{n} {rows.schema[c].dataType.simpleString()}" for n, c in zip(names, columns))
-    return rows.select(*[F.col(f"`{c}`") for c in columns], "starts", "ends").toDF(*names, "starts", "ends").mapInArrow(run, schema).toDF(*columns)
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.select(*names, "starts", "ends").mapInArrow(run, schema).toDF(*columns)

@@ -129,7 +129,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
                     asked = np.frombuffer(query_data, np.float64).reshape(dim, len(own))
                     selves = (asked * asked).sum(axis=0)
                     best = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
-                ids, data = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(dim, -1)
+                ids, data = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(dim, len(ids) // 8)
                 squares = np.concatenate((np.cumsum((data * data)[::-1], axis=0)[::-1], np.zeros((1, data.shape[1]))))
                 if selves.max(initial=0) * squares[0].max(initial=0) >= 2.0**106:
                     raise ValueError("vectors are too long for exact scores")

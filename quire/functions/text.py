@@ -134,16 +134,19 @@ def loose(value: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared words over all words of two arrays."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
+    """Shared words over all words of two arrays of distinct words."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-def text_score(a: Column, b: Column) -> Column:
-    """Agreement of two loose texts: 1 if equal or both blank, 0 if one is, 0.82 if one holds the other, else Jaccard."""
+def text_score(a: Column, b: Column, sets: tuple[Column, Column] | None = None) -> Column:
+    """Agreement of two loose texts: 1 if equal or both blank, 0 if one is, 0.82 if one holds the other, else Jaccard.
+
+    sets: their distinct words, where the caller has them."""
+    words = sets or tuple(F.array_distinct(F.split(x, " ")) for x in (a, b))
     return (
         F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).when(a == b, 1.0)
-        .when(F.contains(a, b) | F.contains(b, a), 0.82).otherwise(jaccard(F.split(a, " "), F.split(b, " ")))
+        .when(F.contains(a, b) | F.contains(b, a), 0.82).otherwise(jaccard(*words))
     )
 
 

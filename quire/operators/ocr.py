@@ -38,9 +38,9 @@ def match(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """The line that fits each block best (page, ln, seq, text_score, position, score); a score of 0 matches nothing.
 
     Blocks and lines meet by page alone: a page's blocks times its lines, reduced before anything is dealt out again."""
-    b = blocks.select("page", "ln", *[F.col(c).alias(f"b{c}") for c in ("x", "y", "w", "h")], loose(F.col("text")).alias("bt"), F.col("size").alias("bsize"))
-    line = lines.select("page", "seq", "x", "y", "w", "h", loose(F.col("text")).alias("lt"))
-    pair = b.join(line, "page").withColumn("position", g.position_score(g.box("b"), g.box())).withColumn("text_score", text_score(F.col("bt"), F.col("lt")))
+    b = blocks.select("page", "ln", *[F.col(c).alias(f"b{c}") for c in ("x", "y", "w", "h")], loose(F.col("text")).alias("bt"), F.col("size").alias("bsize")).withColumn("bset", F.array_distinct(F.split("bt", " ")))
+    line = lines.select("page", "seq", "x", "y", "w", "h", loose(F.col("text")).alias("lt")).withColumn("lset", F.array_distinct(F.split("lt", " ")))
+    pair = b.join(line, "page").withColumn("position", g.position_score(g.box("b"), g.box())).withColumn("text_score", text_score(F.col("bt"), F.col("lt"), (F.col("bset"), F.col("lset"))))
     pair = pair.withColumn("score", 0.55 * F.col("position") + 0.45 * F.col("text_score")).where("score > 0")
     best = F.max_by(F.struct("seq", "text_score", "position", "score"), F.struct("score", (-F.col("seq")).alias("early"))).alias("m")
     found = pair.groupBy("page", "ln").agg(best)

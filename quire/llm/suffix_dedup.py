@@ -207,10 +207,10 @@ def repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(df.select(F.col(text_col).cast("string").alias("text")), "text").where("octet_length(text) >= %d" % LENGTH)
     found = materialise(chosen_spans(texts), "spans")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    grams = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")  # written, so that a hot gram's side of the join can be split
     shared = materialise(found.join(grams, "gram", "left_semi"), "shared")
     kinds = materialise(shared.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "more")).alias("one")), "kinds")
-    whole = kinds.where("n > 1").select("gram", "content")
+    whole = materialise(kinds.where("n > 1").select("gram", "content"), "whole")
     sure = shared.join(whole, ["gram", "content"], "left_semi").select("k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + LENGTH).alias("end"))
     open_ = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram", "kinds")
     asked = kinds.join(open_, "gram").select("gram", "content", "kinds", "n", "one.*")

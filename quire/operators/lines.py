@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.numbers import clamp01, fixed, half_up
 
-from .scan import scan
+from .scan import scan, walk
 
 
 def anchor_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
@@ -111,6 +111,17 @@ def columns(starts: list[float], tolerance: float) -> list[float]:
     return sorted(mean for mean, _ in clusters)
 
 
+def column_centres(starts: DataFrame, tolerance: float) -> DataFrame:
+    """Columns of each page from the x of its segments."""
+    kind = starts.schema["page"].dataType.simpleString()
+
+    def each(page, rows):
+        for i, centre in enumerate(columns([r[1] for r in rows], tolerance)):
+            yield (page, i, round(centre, 4))
+
+    return walk(starts.select("page", "x"), ["page"], ["x"], each, f"page {kind}, column int, centre double")
+
+
 def nearest(value: Column, centres: Column) -> Column:
     """Place (from 0) of the nearest centre, the first on a tie; 0 if there is none."""
     far = F.transform(centres, lambda c: F.abs(c - value))

@@ -443,6 +443,12 @@ def q33(s, d):
     return lines.median_lines(_words(s, d).select("page", "ln", "pos", "x", "y", "h")).select("page", "ln", "pos", "line")
 
 
+@query("q34_columns")
+def q34(s, d):
+    starts = lines.segments(_words(s, d)).groupBy("page", "ln", "segment").agg(F.min("x").alias("x"))
+    return lines.column_centres(starts, 8.0)
+
+
 @query("q35_table_grid")
 def q35(s, d):
     return tables.grid(_claimed(s, d).where("tag = 'table'"))

@@ -425,6 +425,32 @@ def test_near_copies_equal_brute_force(spark, docs):
     assert kept == {int(docs.doc_id[r]) for r in set(roots)}
 
 
+def kept_is_brute_force(spark, texts):
+    """Rows that stay are those of an exact comparison of all pairs."""
+    kept = {r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id").collect()}
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: not a and not b or len(a & b) >= 0.8 * len(a | b)
+    assert kept == set(brute_groups(sets, alike))
+
+
+def test_near_copies_of_large_families(spark):
+    rng = np.random.default_rng(5)
+    long = [f"longword{i}" for i in range(40)]
+    body = [w for pair in zip(long * 3, [f"s{i}" for i in range(120)]) for w in pair]
+    texts = []
+    for family in range(2):  # long words tell the families apart, short ones the texts of one
+        start = [*body]
+        for at in (20, 100) if family else ():
+            start[at] = f"family{at}"
+        for i in range(12):
+            text = [*start]
+            text[-1 - 2 * (i % 3)] = f"e{i}"
+            texts.append(" ".join(text))
+    texts += [" ".join(rng.permutation(long * 6)) for _ in range(40)]  # the same words in another order
+    texts += [texts[0] + " tail", " ".join(reversed(body))]
+    kept_is_brute_force(spark, texts)
+
+
 def test_near_copies_odd(odd, none):
     rows = near_copies.keep_one(odd).select("doc_id", "text").collect()
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [0, 3, 6, 7, 8, 10, 11]

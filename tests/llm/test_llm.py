@@ -451,6 +451,14 @@ def test_near_copies_of_large_families(spark):
     kept_is_brute_force(spark, texts)
 
 
+def test_near_copies_across_fifteen_long_words(spark):
+    texts = []
+    for i in range(30):
+        text = [w for j in range(15) for w in (f"t{i}x{j}longer", f"a{i % 7}", f"b{j % 5}", f"c{i % 3}")]
+        texts += [" ".join([*text, f"last{i}word"]), " ".join(text)]
+    kept_is_brute_force(spark, texts)
+
+
 def test_near_copies_odd(odd, none):
     rows = near_copies.keep_one(odd).select("doc_id", "text").collect()
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [0, 3, 6, 7, 8, 10, 11]

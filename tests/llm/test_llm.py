@@ -459,6 +459,21 @@ def test_near_copies_across_fifteen_long_words(spark):
     kept_is_brute_force(spark, texts)
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_copies_with_block_edits(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(30):
+        body = [f"t{i}common{k}" for k in rng.integers(0, 100, 1000)]
+        texts += [" ".join(body), " ".join(body + [f"t{i}added{k}" for k in range((150, 200, 240, 249, 255)[i % 5])])]
+    passage = [f"passage{k}" for k in range(300)]
+    for i in range(20):  # much in common, but for a chain of them too little
+        text = [*passage, *(f"o{i}own{k}" for k in range(100))]
+        texts += [" ".join(text), " ".join([*text[:350], f"x{i}", *text[350:]]), " ".join([*text, *(f"y{i}end{k}" for k in range(90))])]
+    kept_is_brute_force(spark, texts)
+
+
 def test_near_copies_odd(odd, none):
     rows = near_copies.keep_one(odd).select("doc_id", "text").collect()
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [0, 3, 6, 7, 8, 10, 11]

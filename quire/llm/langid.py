@@ -7,7 +7,8 @@ goes with a true one, and the priors, are estimated from the text's posteriors b
 aggregation over all rows; a page's own share is taken out of its host's.
 
 The trigram model is fitted on about PER_LABEL labelled rows a language, chosen by hash of text:
-a documented bound. All other counts cover all rows.
+a documented bound. All other counts cover all rows. Every label of a text is a language; each
+takes a quarter of a MB in a worker.
 
 A null or empty text, or one without letters, has no evidence of its own: it is judged by the rest
 and not accepted. Null hosts, suffixes and declared languages are values of their own. Ties go to
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, bounded_arrow, materialise, text_array, text_batches
 
 PER_LABEL = 2000
-MAX_LABELS = 64
 GRAMS = 1 << 16
 #: Trigrams overlap and are not independent: a text's log-likelihood is divided by this.
 TEMPER = 3.0
@@ -65,7 +65,7 @@ class Model:
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL) -> Model:
     bounded_arrow(df.sparkSession)
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null and text != '' and label is not null")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect()}
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         raise ValueError("no labelled rows to fit a language model on")
     labels = sorted(sizes)

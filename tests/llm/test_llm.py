@@ -357,6 +357,13 @@ def test_language_evidence_is_fused(spark, odd, none):
         langid.fit(none)
 
 
+def test_language_of_many_labels(spark):
+    rows = [(" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}q{i}" for i in range(20)), f"l{k:02}") for k in range(70) for _ in range(2 + (k < 64))]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.labels == sorted({r[1] for r in rows})
+    assert all(model.labels[int(np.argmax(model.score(t)))] == x for t, x in rows)
+
+
 # 9
 
 

@@ -4,27 +4,32 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a small side that may be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 500_000
-#: Text bytes handled at once by a Python worker.
-BATCH_BYTES = 8 << 20
+#: Measured bytes of a small side that may be broadcast; beyond them the join is shuffled.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of an Arrow batch, and of the text that a Python worker handles at once.
+ARROW_BYTES = BATCH_BYTES = 4 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a run in one process gets a local one; a cluster has to name it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -58,20 +63,51 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_shared(path: str, write: bool = False):
+    """A file of the shared folder, from a worker."""
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_output_stream(name, compression=None) if write else store.open_input_file(name)
+
+
+def list_shared(path: str, suffix: str) -> list[str]:
+    """Files with the suffix under a folder of the shared one, by name; none if it is not there."""
+    store, name = fs.FileSystem.from_uri(path)
+    found = store.get_file_info(fs.FileSelector(name, recursive=True, allow_not_found=True))
+    return sorted(path.rstrip("/") + f.path[len(name.rstrip("/")) :] for f in found if f.is_file and f.path.endswith(suffix))
+
+
 def bounded_arrow(spark: SparkSession) -> None:
     """Arrow batches by bytes, so that long texts do not fill a worker; a value set by the user stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key)
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) >= 1 << 28:
-        spark.conf.set(key, str(16 << 20))
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about as a broadcast holds it."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        return F.aggregate(F.coalesce(value, F.array().cast(kind)), F.lit(24).cast("long"), lambda a, x: a + _width(x, kind.elementType))
+    return F.lit(8)
+
 
+def fits(table: DataFrame, limit: int | None = None) -> bool:
+    """Whether a written table's measured bytes are within the bound of what may be broadcast."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    least = 16 + 8 * len(table.columns)
+    if table.count() * least > limit:  # from file footers
+        return False
+    size = table.agg(F.sum(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields), F.lit(16)).cast("long"))).first()[0]
+    return (size or 0) <= limit
 
-def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins a written table to big: broadcast if its counted rows are within the bound, else shuffled.
 
-    Call it with a table from materialise(), whose count is read from file footers."""
-    fits = small.count() <= rows
-    return big.join(F.broadcast(small) if fits else small, on, how)
+def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int | None = None) -> DataFrame:
+    """Joins a table from materialise() to big: broadcast if its measured bytes are within the bound, else shuffled."""
+    return big.join(F.broadcast(small) if fits(small, limit) else small, on, how)
 
 
 def text_array(column: pa.Array) -> pa.Array:

@@ -13,7 +13,9 @@ takes a quarter of a MB in a worker.
 A null or empty text, or one without letters, has no evidence of its own: it is judged by the rest
 and not accepted. Null hosts, suffixes and declared languages are values of their own. Ties go to
 the label that sorts first. Repeated rows count each. Very long texts are read whole. Without any
-labelled row there is nothing to fit, which raises a ValueError; no rows to judge give no rows."""
+labelled row nothing is fitted: language and posterior are then null, and texts with letters are
+accepted, since nothing speaks against them. No rows to judge give no rows. Columns of any name are
+kept, but those that are named as an added one are replaced."""
 
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_arrow, materialise, text_array, text_batches
+from .common import bounded_arrow, join_sized, materialise, text_array, text_batches
 
 PER_LABEL = 2000
 GRAMS = 1 << 16
@@ -52,7 +54,7 @@ class Model:
     def __init__(self, labels: list[str], counts: np.ndarray, rows: np.ndarray):
         self.labels = labels
         smooth = counts + 0.5
-        self.table = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)  # gram, label
+        self.table = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)  # gram, label; no label: unfitted
         self.prior = np.log((rows + 1) / (rows + 1).sum())
 
     def score(self, text: str) -> np.ndarray:
@@ -67,7 +69,7 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", per_labe
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null and text != '' and label is not null")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        raise ValueError("no labelled rows to fit a language model on")
+        return Model([], np.zeros((GRAMS, 0)), np.zeros(0))
     labels = sorted(sizes)
     share = F.coalesce(*[F.when(F.col("label") == x, F.lit(min(1.0, per_label / sizes[x]))) for x in labels])
     some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
@@ -146,7 +148,7 @@ def fuse(rows: DataFrame, gathered: DataFrame, labels: list[str]) -> DataFrame:
     said = materialise(up("_declared").select("_declared", arr(lambda i: (F.col("_sums")[i] + 0.1) / F.lit(total[i] + 0.1 * 64)).alias("_fit")), "declared")
     hosts = materialise(up("_host").select("_host", F.col("_sums").alias("_of_host"), F.col("_n").alias("_host_n")), "host_sums")
     for table, key in ((suffixes, "_suffix"), (said, "_declared"), (hosts, "_host")):
-        rows = rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, key, "left")
+        rows = join_sized(rows, table, [key], "left")
     prior = lambda i: (F.greatest(F.col("_of_host")[i] - F.col("_own")[i], F.lit(0.0)) + PRIOR_PAGES * F.col("_wide")[i]) / (F.col("_host_n") - 1 + PRIOR_PAGES)
     rows = rows.withColumn("_log", arr(lambda i: F.col("_score")[i] + F.log(F.col("_fit")[i]) + F.log(prior(i))))
     rows = rows.withColumn("_top", F.array_max("_log"))
@@ -157,8 +159,14 @@ def fuse(rows: DataFrame, gathered: DataFrame, labels: list[str]) -> DataFrame:
     return rows.drop("_score", "_own", "_letters", "_markup", "_host", "_suffix", "_declared", "_wide", "_fit", "_of_host", "_host_n", "_log", "_top")
 
 
+def _unfitted(rows: DataFrame, text: Column) -> DataFrame:
+    return rows.withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "accepted": F.coalesce(text.cast("string"), F.lit("")).rlike(r"\p{L}")})
+
+
 def identify_pages(pages: DataFrame, model: Model, id_col: str = "page_id") -> DataFrame:
     """id_col, language, posterior and accepted for pages of html and url."""
+    if not model.labels:
+        return _unfitted(pages, F.regexp_replace(F.col("html"), r"(?s)<[^>]*>", " ")).select(id_col, "language", "posterior", "accepted")
     small = pages.select(F.col(id_col), F.col("url").cast("string").alias("_url"), F.col("html").cast("string").alias("_html"))
     host = host_of(F.col("_url"))
     seen = evidence(small, model, "_html", markup=True).drop("_html")
@@ -168,6 +176,13 @@ def identify_pages(pages: DataFrame, model: Model, id_col: str = "page_id") -> D
 
 def identify_documents(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", declared_col: str = "lang") -> DataFrame:
     """docs with language, posterior and accepted; texts are read twice rather than dealt out."""
-    keyed = lambda d: _keys(d, F.col(host_col), suffix_of(F.col(host_col)), F.col(declared_col))
-    first = keyed(evidence(docs.select(text_col, host_col, declared_col), model, text_col)).select("_host", "_suffix", "_declared", "_own")
-    return fuse(keyed(evidence(docs, model, text_col)), first, model.labels)
+    if not model.labels:
+        return _unfitted(docs, F.col(text_col))
+    columns = docs.columns
+    text, host, declared = (f"c{columns.index(c)}" for c in (text_col, host_col, declared_col))
+    rows = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    keyed = lambda d: _keys(d, F.col(host), suffix_of(F.col(host)), F.col(declared))
+    first = keyed(evidence(rows.select(*dict.fromkeys((text, host, declared))), model, text)).select("_host", "_suffix", "_declared", "_own")
+    found = fuse(keyed(evidence(rows, model, text)), first, model.labels)
+    added = ("language", "posterior", "accepted")
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c not in added], *added)

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_arrow, materialise, text_array, text_batches
+from .common import bounded_arrow, fits, materialise, text_array, text_batches
 from .pieces import Memory, chunks, gather
 
 LENGTH = 2048
@@ -185,11 +186,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.memory = Memory(None)
+        #: Strings that the library finds in a text before all else.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and where each text's begin."""
+        """Ids of all texts, and where each text's begin. Texts that hold a special token's string are left whole to the library."""
+        special = np.zeros(len(texts), bool)
+        for content in self.added:
+            special |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._plain(texts)
+        ids, at = self._plain(pc.if_else(pa.array(special), "", texts))
+        parts = [ids[a:b] for a, b in zip(at, at[1:])]
+        for i in np.flatnonzero(special).tolist():
+            parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut = chunks(texts, lower=True, bare=True)
         if not cut.distinct:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
@@ -244,7 +258,7 @@ def pack(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text
     for rest, n in bases.groupBy("rest").agg(F.sum("n")).collect():
         counts[rest] = n
     plan = Plan(counts[:LENGTH], int(counts[LENGTH]))
-    few = bases.count() <= BROADCAST_ROWS
+    few = fits(bases)
     for name, table in (("rest_base", bases.where(F.col("rest") < LENGTH).select("part", "rest", F.col("base").alias("rest_base"))), ("full_base", bases.where(F.col("rest") == LENGTH).select("part", F.col("base").alias("full_base")))):
         docs = docs.join(F.broadcast(table) if few else table, [c for c in table.columns if c != name])
 

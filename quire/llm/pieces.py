@@ -105,31 +105,37 @@ def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.n
 
 
 class Memory(dict):
-    """A cache of two generations: bounded, and what is in use stays."""
+    """A cache of two generations: bounded by entries and bytes, and what is in use stays."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000, room: int = 24 << 20):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.room, self.held, self.old = make, limit, room, 0, {}
+
+    def _turn(self) -> None:
+        if len(self) >= self.limit or self.held >= self.room:
+            self.old, self.held = dict(self), 0
+            self.clear()
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
+        self._turn()
         self[key] = value
+        self.held += len(key) + len(value)
         return value
 
     def many(self, keys: list, make) -> list:
-        """Values of the keys; make gets all new ones at once."""
+        """Values of the keys; make gets the new ones, some at a time."""
         values = [self.get(k) if k in self else self.old.get(k) for k in keys]
         missing = [i for i, v in enumerate(values) if v is None]
-        if missing:
-            for i, v in zip(missing, make([keys[i] for i in missing])):
+        for at in range(0, len(missing), 8192):
+            some = missing[at : at + 8192]
+            for i, v in zip(some, make([keys[i] for i in some])):
                 values[i] = v
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
+        self._turn()
+        before = len(self)
         self.update(zip(keys, values))
+        if len(self) > before:
+            self.held += sum(len(k) + len(v) for k, v in zip(keys, values)) * (len(self) - before) // len(keys)
         return values

@@ -71,7 +71,7 @@ WITH d AS (
   SELECT source, count(*) AS n FROM d GROUP BY 1
 ), bad AS (
   SELECT s.source, s.line FROM seen s JOIN total t ON s.source IS NOT DISTINCT FROM t.source
-  WHERE s.pages >= 5 AND s.pages / CAST(t.n AS DOUBLE) > 0.05
+  WHERE s.pages >= 2 AND s.pages / CAST(t.n AS DOUBLE) > 0.05
 ), marked AS (
   SELECT l.*, b.line IS NOT NULL AS out FROM l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.line
 ), kept AS (

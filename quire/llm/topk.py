@@ -8,9 +8,10 @@ compacted before the next group.
 
 Vectors that are null or hold null or non-finite components take no part. Only vectors of equal
 length are compared. Rows are distinct even if their ids repeat: each takes part, and a query leaves
-out its own row alone. Candidates without an id come last among ties. Queries and candidates meet in
-blocks of bounded size, by an equi-join on the number of the candidate block; a task keeps the
-running best of one block of queries at a time."""
+out its own row alone. Candidates without an id come last among ties. Candidates are written once, as
+blocks in the shared folder; each task holds some queries and streams the blocks past them, so that
+what is shuffled grows with the rows, not with pairs. An empty table gives no rows; columns other
+than the two named are not read, whatever their names."""
 
 from __future__ import annotations
 
@@ -18,14 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow, materialise
+from .common import bounded_arrow, list_shared, materialise, open_shared, release, scratch
 
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
+#: Queries of a task: at most, and at least where there are as many.
+QUERY_ROWS, FEW = 4096, 64
 GROUP = 16
 LAST = np.iinfo(np.int64).max
 
@@ -38,20 +40,16 @@ def quantise(df: DataFrame, vector_col: str, id_col: str, scale: int = 256) -> D
 
 
 def _packed(rows: DataFrame, size: int, n: int) -> DataFrame:
-    """Blocks of at most size rows of equal length: block, dim, count, ids, first (number of the first row), data (vertical doubles)."""
+    """Blocks of at most size rows of equal length: dim, ids, data (vertical doubles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
         held: dict[int, list[tuple]] = {}
-        made = 0
 
         def block(dim: int) -> pa.RecordBatch:
-            nonlocal made
             got = held.pop(dim)
             ids = np.array([LAST if i is None else i for i, _ in got], np.int64)
             data = np.ascontiguousarray(np.array([v for _, v in got], np.float64).reshape(len(got), dim).T)
-            made += 1
-            return pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + made], pa.int64()), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["block", "dim", "ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["dim", "ids", "data"])
 
         for batch in batches:
             for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("q").to_pylist()):
@@ -60,8 +58,18 @@ def _packed(rows: DataFrame, size: int, n: int) -> DataFrame:
                     yield block(len(v))
         for dim in list(held):
             yield block(dim)
+        release()
 
-    return rows.repartition(n).mapInArrow(run, "block long, dim int, ids binary, data binary")
+    return rows.repartition(n).mapInArrow(run, "dim int, ids binary, data binary")
+
+
+def _candidates(path: str, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and data of the written blocks of a length, one after the other."""
+    for name in list_shared(f"{path}/dim={dim}", ".parquet"):
+        with open_shared(name) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=["ids", "data"]):
+                ids = np.frombuffer(batch.column("ids")[0].as_py(), np.int64)
+                yield ids, np.frombuffer(batch.column("data")[0].as_py(), np.float64).reshape(dim, len(ids))
 
 
 def _search(query: np.ndarray, data: np.ndarray, rest: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -97,56 +105,42 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
     bounded_arrow(spark)
     rows = materialise(quantise(df, vector_col, id_col, scale), "vectors")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = rows.count()
-    blocks = materialise(_packed(rows, BLOCK_ROWS, max(1, -(-total // BLOCK_ROWS))), "blocks")
+    path = scratch(spark, "blocks")
+    _packed(rows, BLOCK_ROWS, max(1, -(-rows.count() // BLOCK_ROWS))).write.partitionBy("dim").parquet(path)
     asked = rows.where(F.col("vec_id").isNotNull() & (F.col("vec_id") % every == 0))
-    queries = materialise(_packed(asked, QUERY_ROWS, max(1, -(-asked.count() // QUERY_ROWS))).select(F.col("block").alias("queries"), "dim", F.col("ids").alias("query_ids"), F.col("data").alias("query_data")), "queries")
-    # each block of queries goes to every block of candidates: numbers of blocks only are listed here
-    pairs = queries.select("queries", "dim").join(blocks.select("block", "dim"), "dim").repartition(parts, "block")
-    met = pairs.join(blocks.drop("dim"), "block").join(queries.drop("dim"), "queries").repartition(max(1, min(total // BLOCK_ROWS + 1, 10 * parts)), "block").sortWithinPartitions("queries", "block")
+    n = asked.count()
+    size = max(FEW, min(QUERY_ROWS, -(-n // (2 * parts))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, best = None, None, []
-
-        def flush() -> pa.RecordBatch:
-            ids = [b[0] for b in best]
-            sizes = [len(x) for x in ids]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.full(len(own), now, np.int64), sizes)), pa.array(np.repeat(np.arange(len(own)), sizes), pa.int64()), pa.array(np.repeat(own, sizes)), pa.array(np.repeat(selves, sizes).astype(np.int64)),
-                    pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate([b[1] for b in best]).astype(np.int64) if ids else [], pa.int64()),
-                ],
-                names=["queries", "place", "query_id", "self", "vec_id", "score"],
-            )
-
         for batch in batches:
-            for r in range(batch.num_rows):
-                block, queries, dim, ids, data, query_ids, query_data = (batch.column(c)[r].as_py() for c in ("block", "queries", "dim", "ids", "data", "query_ids", "query_data"))
-                if queries != now:
-                    if now is not None:
-                        yield flush()
-                    now, own = queries, np.frombuffer(query_ids, np.int64)
-                    asked = np.frombuffer(query_data, np.float64).reshape(dim, len(own))
-                    selves = (asked * asked).sum(axis=0)
-                    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
-                ids, data = np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(dim, len(ids) // 8)
-                squares = np.concatenate((np.cumsum((data * data)[::-1], axis=0)[::-1], np.zeros((1, data.shape[1]))))
-                if selves.max(initial=0) * squares[0].max(initial=0) >= 2.0**106:
-                    raise ValueError("vectors are too long for exact scores")
-                rest = np.sqrt(squares[[*range(0, dim, GROUP), dim]])
-                for q in range(len(own)):
-                    had_ids, had = best[q]
-                    alive, score = _search(np.ascontiguousarray(asked[:, q]), data, rest, k + 1, had[-1] if len(had) == k + 1 else -np.inf)
-                    if len(alive):
-                        best[q] = _best(np.concatenate((had_ids, ids[alive])), np.concatenate((had, score)), k + 1)
-        if now is not None:
-            yield flush()
-
-    found = met.select("block", "queries", "dim", "ids", "data", "query_ids", "query_data").mapInArrow(run, "queries long, place long, query_id long, self long, vec_id long, score long")
-    row = Window.partitionBy("queries", "place")
-    order = [F.col("score").desc(), F.col("vec_id")]
-    top = found.withColumn("n", F.row_number().over(row.orderBy(*order))).where(F.col("n") <= k + 1)
-    mine = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("self"))
-    top = top.withColumn("out", F.min(F.when(mine, F.col("n"))).over(row)).where(~F.col("n").eqNullSafe(F.col("out")))
-    top = top.withColumn("rank", F.row_number().over(row.orderBy("n")).cast("int")).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", F.when(F.col("vec_id") != F.lit(int(LAST)), F.col("vec_id")).alias("vec_id"), "score")
+            for dim, ids, data in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "data"))):
+                yield _ranked(np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(dim, len(ids) // 8), _candidates(path, dim), k)
+        release()
+
+    return _packed(asked, size, max(1, -(-n // size))).mapInArrow(run, "query_id long, rank int, vec_id long, score long")
+
+
+def _ranked(own: np.ndarray, asked: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> pa.RecordBatch:
+    """The k best of all blocks for each query, but for its own row."""
+    dim = len(asked)
+    selves = (asked * asked).sum(axis=0)
+    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
+    for ids, data in blocks:
+        squares = np.concatenate((np.cumsum((data * data)[::-1], axis=0)[::-1], np.zeros((1, data.shape[1]))))
+        if selves.max(initial=0) * squares[0].max(initial=0) >= 2.0**106:
+            raise ValueError("vectors are too long for exact scores")
+        rest = np.sqrt(squares[[*range(0, dim, GROUP), dim]])
+        for q in range(len(own)):
+            had_ids, had = best[q]
+            alive, score = _search(np.ascontiguousarray(asked[:, q]), data, rest, k + 1, had[-1] if len(had) == k + 1 else -np.inf)
+            if len(alive):
+                best[q] = _best(np.concatenate((had_ids, ids[alive])), np.concatenate((had, score)), k + 1)
+    queries, ranks, found, scores = [], [], [], []
+    for q, (ids, score) in enumerate(best):
+        mine = np.flatnonzero((ids == own[q]) & (score == selves[q]))[:1]
+        ids, score = np.delete(ids, mine)[:k], np.delete(score, mine)[:k]
+        queries += [int(own[q])] * len(ids)
+        ranks += range(1, len(ids) + 1)
+        found += [None if i == LAST else i for i in ids.tolist()]
+        scores += score.astype(np.int64).tolist()
+    return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(ranks, pa.int32()), pa.array(found, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "rank", "vec_id", "score"])

@@ -187,7 +187,6 @@ def check_packing(rows, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     ids = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for x in texts]
     crcs = collections.Counter()
     by_doc = collections.defaultdict(list)
@@ -226,6 +225,11 @@ def test_packing_odd(spark, none):
     assert packing.pack(none, WORDS).count() == 0
 
 
+def test_packing_of_special_strings(spark):
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "<|ENDOFTEXT|> x<|endoftext|><|startoftext|>y", "plain words", "one <|endoftext", None, "é<|endoftext|>é" * 900]
+    check_packing(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS).collect(), texts)
+
+
 def test_packing_of_one_length(spark):
     """Rests that do not fit each other are cut, not padded."""
     text = " ".join(["a"] * 1400)
@@ -353,8 +357,11 @@ def test_language_evidence_is_fused(spark, odd, none):
     got = {r["page_id"]: r for r in langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
     assert got[99]["language"] == "fr" and not got[100]["accepted"]
     assert langid.identify_documents(odd, model).count() == len(odd_rows()) and langid.identify_documents(none, model).count() == 0
-    with pytest.raises(ValueError):
-        langid.fit(none)
+    unfitted = langid.fit(none)
+    assert unfitted.labels == [] and langid.identify_documents(none, unfitted).count() == 0
+    judged = langid.identify_documents(odd, unfitted).collect()
+    assert len(judged) == len(odd_rows()) and {r["language"] for r in judged} == {None}
+    assert all(r["accepted"] == any(map(str.isalpha, r["text"] or "")) for r in judged)
 
 
 def test_language_of_many_labels(spark):

@@ -48,9 +48,9 @@ def words(texts: pa.Array) -> Pieces:
     first[1:] &= space[:-1]
     begins = at[:-1][at[:-1] < at[1:]]
     first[begins] = solid[begins]
-    before = np.concatenate(([0], np.cumsum(first)))
-    rank = np.cumsum(solid) - 1
-    return _encode(_LOWER[data[solid]], rank[first], before[at])
+    starts = np.flatnonzero(first)
+    rank = np.cumsum(solid, dtype=np.int32)[starts] - 1
+    return _encode(_LOWER[data[solid]], rank, np.searchsorted(starts, at))
 
 
 def chunks(texts: pa.Array, lower: bool = False, bare: bool = False) -> Pieces:
@@ -85,14 +85,15 @@ def chunks(texts: pa.Array, lower: bool = False, bare: bool = False) -> Pieces:
     begin[1:] |= (a != b) & (a > 0) & (b > 0) & ((data[:-1] != 39) | (b != 1))
     begin[begins] = True
     # what follows a text's first byte was judged by the text before it only if it began a lone piece, which stays exact
-    before = np.concatenate(([0], np.cumsum(begin)))
     starts = np.flatnonzero(begin)
+    docs = np.searchsorted(starts, at)
     if bare:
+        gone = space[starts]
         keep = np.ones(n, bool)
-        keep[starts[space[starts]]] = False
-        starts = (np.cumsum(keep) - keep)[starts]
+        keep[starts[gone]] = False
+        starts = starts - (np.cumsum(gone) - gone)
         data = data[keep]
-    return _encode(_LOWER[data] if lower else data, starts, before[at])
+    return _encode(_LOWER[data] if lower else data, starts, docs)
 
 
 def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from .common import bounded_arrow, join_sized, materialise, text_array, text_bat
 LENGTH = 200
 GRAM = 48
 GROUP = 8192
-PART = 2 << 20
+PART = 1 << 20
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 

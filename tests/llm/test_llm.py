@@ -263,12 +263,57 @@ def test_op6(spark, docs, monkeypatch):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-    assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
-
-
-def test_model_is_a_distribution():
-    table = np.exp(langmodel.log_table(np.random.default_rng(0).normal(size=(langmodel.FEATURES, langmodel.CLASSES))))
-    assert np.allclose(table.sum(axis=1), 1)
+    gain = [(r["score"] - r["base_score"]) / r["n_tokens"] for r in got.values() if r["held_out"]]
+    assert sum(gain) / len(gain) > 0.2
+
+
+def small_model(texts):
+    """A model and its counts, without Spark."""
+    distinct, codes, at = langmodel._tokens(pa.array(texts))
+    each = langmodel._hashes(distinct)
+    hashes, place = each[codes], langmodel._places(at)
+    seen, begun = (np.zeros((1 << 18) + langmodel.WIDTH, np.int32) for _ in range(2))
+    langmodel.gathered(hashes, place, 18, seen, begun)
+    n, leaves = np.bincount(codes, minlength=len(distinct)), langmodel.leaf_of(each)
+    blocks = [(b, *(v[b * langmodel.BLOCK : (b + 1) * langmodel.BLOCK].astype(np.int64) for v in (seen, begun))) for b in range(5)]
+    model = langmodel.Model(dict(zip(distinct, n.tolist())), np.bincount(leaves, n, langmodel.LEAVES), np.bincount(leaves, minlength=langmodel.LEAVES).astype(float), iter(blocks), 18)
+    return model, hashes, place, seen, begun
+
+
+def test_language_model_is_a_distribution():
+    model, *_ = small_model(["a b c a b", "b c d", "a b c d e"])
+    model.weights = np.random.default_rng(0).normal(size=model.weights.shape).astype(np.float32)
+    leaves = np.arange(langmodel.LEAVES)
+    before = np.array([langmodel.word_hash(w) for w in (b"a", b"b")], np.uint64)
+    context = langmodel.contexts(np.append(before, np.uint64(0)), np.arange(3))[:, 2:]
+    total = sum((10 ** model.log_probability(np.repeat(context, len(x), axis=1), x)).sum() for x in np.array_split(leaves, 64))
+    assert total == pytest.approx(1, abs=1e-3)
+    inside = [(n + langmodel.SMOOTH) / 10 ** model.leaf_room[langmodel.leaf_of(np.array([langmodel.word_hash(w)], np.uint64))[0]] for w, n in model.head.items()]
+    assert max(inside) < 1
+
+
+def test_language_model_by_hand():
+    """Counts, weights and probabilities of each token, one at a time."""
+    texts = ["a b c a b", "b c d", "a b c d e", ""]
+    model, hashes, place, seen, begun = small_model(texts)
+    assert seen.sum() == begun.sum() == 9 * len(hashes)
+    cells = [np.rint(16 * np.log((seen[i] + 0.3) / (begun[max(0, i - 63) : i + 1].sum() / 64 + 0.3))) for i in np.flatnonzero(seen)]
+    assert model.cells[np.flatnonzero(seen)].tolist() == cells
+    context, leaf = langmodel.contexts(hashes, place), langmodel.leaf_of(hashes)
+    got = model.log_probability(context, leaf)
+    for t in range(len(hashes)):
+        fit = plain = 0.0
+        for level in range(3):
+            own, known = int(leaf[t]) >> (12 - 6 * level) & 63, int(leaf[t]) >> (18 - 6 * level)
+            p0 = model.plain[level][known].astype(float)
+            z = model.weights[level, 0] * p0
+            for kind in range(3):
+                first = int(langmodel.starts(context[kind][t : t + 1], leaf[t : t + 1], level, 18)[0])
+                row = model.cells[first : first + 64].astype(float)
+                z = z + row / 16 * model.weights[level, 1 + kind * 3 + int(row.max() > 23) + int(row.max() > 34)]
+            fit += z[own] - np.log(np.exp(z).sum())
+            plain += p0[own]
+        assert got[t] == pytest.approx(np.log10(0.95 * np.exp(fit) + 0.05 * np.exp(plain)), abs=1e-4)
 
 
 def test_lm_odd(odd, none):

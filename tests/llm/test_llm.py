@@ -272,10 +272,10 @@ def small_model(texts):
     distinct, codes, at = langmodel._tokens(pa.array(texts))
     each = langmodel._hashes(distinct)
     hashes, place = each[codes], langmodel._places(at)
-    seen, begun = (np.zeros((1 << 18) + langmodel.WIDTH, np.int32) for _ in range(2))
+    seen, begun = np.zeros(1 << 18, np.int32), np.zeros(1 << 12, np.int32)
     langmodel.gathered(hashes, place, 18, seen, begun)
     n, leaves = np.bincount(codes, minlength=len(distinct)), langmodel.leaf_of(each)
-    blocks = [(b, *(v[b * langmodel.BLOCK : (b + 1) * langmodel.BLOCK].astype(np.int64) for v in (seen, begun))) for b in range(5)]
+    blocks = [(b, *(v[b * n : (b + 1) * n].astype(np.int64) for v, n in ((seen, langmodel.BLOCK), (begun, langmodel.BLOCK // 64)))) for b in range(4)]
     model = langmodel.Model(dict(zip(distinct, n.tolist())), np.bincount(leaves, n, langmodel.LEAVES), np.bincount(leaves, minlength=langmodel.LEAVES).astype(float), iter(blocks), 18)
     return model, hashes, place, seen, begun
 
@@ -296,9 +296,9 @@ def test_language_model_by_hand():
     """Counts, weights and probabilities of each token, one at a time."""
     texts = ["a b c a b", "b c d", "a b c d e", ""]
     model, hashes, place, seen, begun = small_model(texts)
-    assert seen.sum() == begun.sum() == 9 * len(hashes)
-    cells = [np.rint(16 * np.log((seen[i] + 0.3) / (begun[max(0, i - 63) : i + 1].sum() / 64 + 0.3))) for i in np.flatnonzero(seen)]
-    assert model.cells[np.flatnonzero(seen)].tolist() == cells
+    assert seen.sum() == begun.sum() == 7 * len(hashes)
+    cells = [np.rint(16 * np.log((seen[i] + 0.3) / (begun[i // 64] / 64 + 0.3))) for i in np.flatnonzero(seen)]
+    assert model.cells.ravel()[np.flatnonzero(seen)].tolist() == cells
     context, leaf = langmodel.contexts(hashes, place), langmodel.leaf_of(hashes)
     got = model.log_probability(context, leaf)
     for t in range(len(hashes)):
@@ -307,9 +307,8 @@ def test_language_model_by_hand():
             own, known = int(leaf[t]) >> (12 - 6 * level) & 63, int(leaf[t]) >> (18 - 6 * level)
             p0 = model.plain[level][known].astype(float)
             z = model.weights[level, 0] * p0
-            for kind in range(3):
-                first = int(langmodel.starts(context[kind][t : t + 1], leaf[t : t + 1], level, 18)[0])
-                row = model.cells[first : first + 64].astype(float)
+            for kind in range((3, 2, 2)[level]):
+                row = model.cells[int(langmodel.rows_of(context[kind][t : t + 1], leaf[t : t + 1], level, 18)[0])].astype(float)
                 z = z + row / 16 * model.weights[level, 1 + kind * 3 + int(row.max() > 23) + int(row.max() > 34)]
             fit += z[own] - np.log(np.exp(z).sum())
             plain += p0[own]

@@ -14,7 +14,7 @@ CAPS = re.compile(r"[A-Z0-9]+")
 
 
 def merge_spans(spans: DataFrame, y_band: float = 3.0, x_gap: float = 12.0, drift: float = 0.0, first_indent: float = 0.0, para_offset: float = 0.0) -> DataFrame:
-    """Blocks of each page: a span joins the last block if it continues its line.
+    """Blocks of each page: a span joins the last block if it continues its line. White space is squeezed, blank spans are skipped.
 
     spans: page, seq, margin, x, y, w, h, text, size, font, rotation. Spans go by line (anchored within y_band) and x, then seq."""
 
@@ -32,12 +32,15 @@ def merge_spans(spans: DataFrame, y_band: float = 3.0, x_gap: float = 12.0, drif
 
     def emit(page, rows):
         for _, seq, margin, x, y, w, h, text, size, font, rotation in sorted(rows, key=lambda r: (r[3], r[1])):
+            text = " ".join((text or "").split())
+            if not text:
+                continue
             b = state.get("block")
             offset = x - margin
             indented = x > margin + (para_offset or 10.0) or first_indent > 0 and abs(offset - first_indent) < 3
             if b is not None:
                 gap = x - (b["x"] + b["w"])
-                guard = indented and b["last_y"] < y and abs(b["last_x"] - x) > 2
+                guard = indented and b["y"] < y and abs(b["x"] - x) > 2
                 if abs(b["last_y"] - y) <= y_band and b["font"] == font and abs(b["size"] - size) <= 1 and b["rotation"] == rotation and -1 <= gap <= x_gap and not guard:
                     caps = CAPS.fullmatch(b["text"].replace(" ", "")) and CAPS.fullmatch(text.replace(" ", ""))
                     b["text"] += (" " if gap > 3 and not caps else "") + text
@@ -77,30 +80,60 @@ def classify(size: Column, hash_: Column) -> Column:
     return F.floor((0.3 * size / 24 + 0.1 * (hash_ % 100) / 100 + 0.6) * 1000 + 0.5) / 1000
 
 
+def finished(text: Column, tag: Column, w: Column, h: Column) -> Column:
+    """Blocks that stay after fixes: images, and what has text and an extent."""
+    return F.coalesce((tag == "img") | (F.trim(F.coalesce(text, F.lit(""))) != "") & (w >= 1) & (h >= 1), F.lit(False))
+
+
+def text_hash(text: Column) -> Column:
+    """The rolling 32-bit hash (31 h + c, signed) of a text, below 10,000."""
+    wrapped = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + F.ascii(c) + (1 << 31), F.lit(1 << 32)) - (1 << 31))
+    return F.abs(wrapped % 10000)
+
+
+def classified(blocks: DataFrame, results: DataFrame) -> DataFrame:
+    """blocks (page, id, tag, confidence) with the classifier's tag and confidence; the rule's where it has none."""
+    found = results.select("page", "id", F.col("tag").alias("_tag"), F.col("confidence").alias("_confidence"))
+    return blocks.join(found, ["page", "id"], "left").withColumns({"tag": F.coalesce("_tag", "tag"), "confidence": F.coalesce("_confidence", "confidence")}).drop("_tag", "_confidence")
+
+
+def without_sources(blocks: DataFrame, fixes: DataFrame) -> DataFrame:
+    """blocks (page, id text) but for those whose words a fix names as its sources (sources: array of word:block:line:word; a block's id may hold colons)."""
+    parts = fixes.select("page", F.explode("sources").alias("s")).select("page", F.regexp_extract("s", "^word:(.+):[^:]*:[^:]*$", 1).alias("id")).where("id <> ''").distinct()
+    return blocks.join(parts, ["page", "id"], "left_anti")
+
+
+#: What a merge without these fields gives.
+MERGED = {"tag": "p", "size": 12.0, "text": ""}
 PATCHED = ["x", "y", "w", "h", "text", "tag", "size"]
 
 
 def apply_fixes(blocks: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Blocks of each page after its fixes, in their order.
+    """Blocks of each page after its fixes, in their order, by y and x.
 
     blocks: page, id and the fields that fixes patch. fixes: page, seq, type, block, second and the same
-    fields, null where unchanged. A page's blocks are on one place; its fixes too."""
+    fields, null where unchanged. A merge starts from the original block (else the page's first one), a new
+    group from the fix alone. Blocks whose words went into a group are taken out before, by without_sources.
+    A page's blocks are on one place; its fixes too."""
 
     def run(key, b: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        own = {r["id"]: r for r in b.to_dict("records")}
+        own = {r["id"]: r for r in b.sort_values("id").to_dict("records")}
+        original = dict(own)
         for x in f.sort_values("seq").to_dict("records"):
             patch = {c: x[c] for c in PATCHED if x[c] is not None and x[c] == x[c]}
             if x["type"] == "delete":
                 own.pop(x["block"], None)
-            elif x["type"] in ("merge", "create-group"):
-                base = own.get(x["block"]) or next(iter(own.values()), None) or {"x": 0.0, "y": 0.0, "w": 0.0, "h": 0.0, "text": "", "tag": "p", "size": 12.0}
-                if x["type"] == "merge":
-                    own.pop(x["block"], None)
-                    own.pop(x["second"], None)
-                own[x["block"]] = {**base, **patch, "id": x["block"], "page": key[0]}
+            elif x["type"] == "create-group":
+                own[x["block"]] = {**dict.fromkeys(PATCHED), **patch, "id": x["block"], "page": key[0]}
+            elif x["type"] == "merge":
+                own.pop(x["block"], None)
+                own.pop(x["second"], None)
+                base = original.get(x["block"]) or next(iter(original.values()), dict.fromkeys(PATCHED))
+                own[x["block"]] = {**base, **MERGED, **patch, "id": x["block"], "page": key[0]}
             elif x["block"] in own:
                 own[x["block"]].update(patch)
-        rows = [r for r in own.values() if r["tag"] == "img" or str(r["text"]).strip() and r["w"] >= 1 and r["h"] >= 1]
+        rows = [r for r in own.values() if r["tag"] == "img" or (r["text"] or "").strip() and (r["w"] or 0) >= 1 and (r["h"] or 0) >= 1]
+        rows.sort(key=lambda r: (r["y"] or 0.0, r["x"] or 0.0))
         return pd.DataFrame(rows, columns=["page", "id", *PATCHED])
 
     kind = blocks.schema["page"].dataType.simpleString()

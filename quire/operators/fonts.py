@@ -21,8 +21,18 @@ def key(name: Column) -> Column:
     return F.lower(F.regexp_replace(clean_name(name), "[^A-Za-z0-9]", ""))
 
 
-def is_bold(name: Column) -> Column:
-    return name.rlike("(?i)bold|black|heavy")
+def is_bold(name: Column, demi: bool = False) -> Column:
+    """demi: as font files are read, where demi counts too."""
+    return name.rlike("(?i)bold|black|heavy" + "|demi" * demi)
+
+
+def is_italic(name: Column) -> Column:
+    return name.rlike("(?i)italic|oblique")
+
+
+def fallback(found: DataFrame, other: DataFrame, by: str = "job") -> DataFrame:
+    """found, and the other reading's fonts for those jobs of which found has none."""
+    return found.unionByName(other.join(found.select(by).distinct(), by, "left_anti"))
 
 
 def priority(kind: Column) -> Column:
@@ -39,14 +49,15 @@ def browser_safe(kind: Column) -> Column:
 
 
 def resolve(names: DataFrame, fonts: DataFrame) -> DataFrame:
-    """family for each name: of the first font with that key, else of the first whose key holds the name's or is held by it, else the cleaned name.
+    """family for each name: of the first font with that key, else of the first whose family's key holds the name's or is held by it, else the cleaned name.
 
     names: name. fonts: seq, base_font, family. Exact keys meet in an equi-join; only the rest is tried against the distinct keys, whose number is that of fonts, not of names."""
     own = fonts.select("seq", "family", F.explode(F.array_distinct(F.array(key(F.col("base_font")), key(F.col("family"))))).alias("key")).groupBy("key").agg(F.min_by("family", "seq").alias("family"), F.min("seq").alias("seq"))
     asked = names.select("name", key(F.col("name")).alias("k")).distinct()
     exact = asked.join(own, asked["k"] == own["key"], "left").select("name", "k", F.col("family").alias("exact"))
     left = exact.where("exact is null").select("k").distinct()
-    near = left.join(own, F.contains(F.col("key"), F.col("k")) | F.contains(F.col("k"), F.col("key"))).groupBy("k").agg(F.min_by("family", "seq").alias("near"))
+    families = fonts.groupBy(key(F.col("family")).alias("key")).agg(F.min_by("family", "seq").alias("family"), F.min("seq").alias("seq"))
+    near = left.join(families, F.contains(F.col("key"), F.col("k")) | F.contains(F.col("k"), F.col("key"))).groupBy("k").agg(F.min_by("family", "seq").alias("near"))
     return exact.join(near, "k", "left").select("name", F.coalesce("exact", "near", clean_name(F.col("name"))).alias("family"))
 
 
@@ -54,12 +65,12 @@ def faces(fonts: DataFrame) -> DataFrame:
     """Sources of each face (family, weight, style) by priority, as one text."""
     weight = F.when(is_bold(F.col("base_font")), "bold").otherwise("normal")
     sources = F.array_sort(F.collect_list(F.struct(priority(F.col("format")).alias("p"), "seq", "format")))
-    return fonts.groupBy("family", weight.alias("weight"), "style").agg(F.count("*").alias("n"), F.array_join(F.slice(F.transform(sources, lambda s: F.concat(s["format"], F.lit(":"), s["seq"].cast("string"))), 1, 8), ",").alias("first_sources"))
+    return fonts.groupBy("family", weight.alias("weight"), "style").agg(F.count("*").alias("n"), F.array_join(F.transform(sources, lambda s: F.concat(s["format"], F.lit(":"), s["seq"].cast("string"))), ",").alias("sources"))
 
 
 def dedupe(fonts: DataFrame) -> DataFrame:
-    """One row for each job, family and format, with all pages that it was found on."""
-    return fonts.groupBy("job", F.lower("family").alias("family"), "format").agg(F.min("seq").alias("seq"), F.array_join(F.transform(F.array_sort(F.collect_set("page")), lambda p: p.cast("string")), ",").alias("pages"))
+    """One row for each job, family, format and content (text: what 8 digits of its hash stand for), with all pages that it was found on."""
+    return fonts.groupBy("job", F.lower("family").alias("family"), "format", F.substring(F.sha2("content", 256), 1, 8).alias("hash")).agg(F.min("seq").alias("seq"), F.array_join(F.transform(F.array_sort(F.collect_set("page")), lambda p: p.cast("string")), ",").alias("pages"))
 
 
 def merge_manifest(existing: DataFrame, new: DataFrame) -> DataFrame:

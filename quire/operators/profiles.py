@@ -52,8 +52,9 @@ def learn(state: tuple, fix: Fix) -> tuple:
     elif fix.type == "delete":
         p["artifact"] = toward(p["artifact"], max(0.1, p["artifact"] - 0.03))
     elif fix.type == "style-change" and fix.text_indent is not None:
-        for f in ("first_indent", "default_indent", "para_offset"):
+        for f in ("first_indent", "default_indent"):
             p[f] = toward(p[f], fix.text_indent)
+        p["para_offset"] = toward(p["para_offset"], 0.0 if fix.x is None else fix.x - (fix.margin or 0.0))
     return tuple(p.values())
 
 

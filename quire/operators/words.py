@@ -28,10 +28,10 @@ def from_chars(chars: DataFrame, unicode: bool = True) -> DataFrame:
 
 
 def from_spans(spans: DataFrame) -> DataFrame:
-    """Words of spans (page, seq, text, x, y, w, h, rotation), each taking its share of the width; a turned span is one word."""
+    """Words of spans (page, seq, text, x, y, w, h, rotation), each taking its share of the width; a turned span is one word, trimmed."""
     whole = F.coalesce("rotation", F.lit(0.0)) != 0
-    tokens = F.when(whole, F.array("text")).otherwise(F.split("text", " ", -1))
-    rows = spans.withColumn("_tokens", tokens).select("*", F.posexplode("_tokens").alias("part", "_token")).where(F.trim("_token") != "")
+    tokens = F.when(whole, F.array(F.regexp_replace("text", f"^{SPACE}+|{SPACE}+$", ""))).otherwise(F.split("text", SPACE, -1))
+    rows = spans.withColumn("_tokens", tokens).select("*", F.posexplode("_tokens").alias("part", "_token")).where("_token <> ''")
     start = F.when(F.col("part") == 0, 0).otherwise(F.length(F.array_join(F.slice("_tokens", 1, F.greatest(F.col("part"), F.lit(1))), " ")) + 1)
     unit = F.col("w") / F.greatest(F.length("text"), F.lit(1))
     width = F.when(whole, F.col("w")).otherwise(F.greatest(F.lit(2.0), F.length("_token") * unit))

@@ -135,7 +135,7 @@ SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THE
 FROM orders LEFT JOIN e ON e.job = o_orderkey % 25 LEFT JOIN l ON l.job = o_orderkey % 25""",
 )
 def q38(s, d):
-    return reviews.job_list(a.jobs(a.table(s, d, "orders")), _fixes(s, d), _visits(s, d)).withColumn("updated", F.date_format("updated", "yyyy-MM-dd"))
+    return reviews.job_list(a.jobs(a.table(s, d, "orders")).withColumn("job", F.col("id") % 25), _fixes(s, d), _visits(s, d)).withColumn("updated", F.date_format("updated", "yyyy-MM-dd"))
 
 
 @query(
@@ -320,8 +320,9 @@ NAMES = "names AS (SELECT DISTINCT 'XYZABC+' || p_brand || CASE WHEN p_partkey %
     q.with_(q.FONTS, NAMES)
     + f""", k AS (SELECT seq, family, {q.key('base_font')} AS key FROM fonts UNION ALL SELECT seq, family, {q.key('family')} FROM fonts),
 own AS (SELECT key, arg_min(family, seq) AS family, min(seq) AS seq FROM k GROUP BY 1),
+fams AS (SELECT {q.key('family')} AS key, arg_min(family, seq) AS family, min(seq) AS seq FROM fonts GROUP BY 1),
 exact AS (SELECT name, {q.key('name')} AS nk, family FROM names LEFT JOIN own ON key = {q.key('name')})
-SELECT name, coalesce(family, (SELECT arg_min(o.family, o.seq) FROM own o WHERE contains(o.key, nk) OR contains(nk, o.key)), {q.clean('name')}) AS family FROM exact""",
+SELECT name, coalesce(family, (SELECT arg_min(o.family, o.seq) FROM fams o WHERE contains(o.key, nk) OR contains(nk, o.key)), {q.clean('name')}) AS family FROM exact""",
 )
 def q25(s, d):
     part = a.table(s, d, "part").select(F.concat(F.lit("XYZABC+"), "p_brand", F.when(F.col("p_partkey") % 4 == 0, " Italic").otherwise("")).alias("name"))
@@ -331,13 +332,13 @@ def q25(s, d):
 @query(
     "q26_font_faces",
     q.with_(q.FONTS)
-    + ", s AS (SELECT *, CASE WHEN regexp_matches(base_font, '(?i)bold|black|heavy') THEN 'bold' ELSE 'normal' END AS weight, CASE format WHEN 'woff2' THEN 1 WHEN 'woff' THEN 2 WHEN 'truetype' THEN 3 ELSE 4 END AS p FROM fonts) SELECT family, weight, style, count(*) AS n, array_to_string(list(format || ':' || seq ORDER BY p, seq)[1:8], ',') AS first_sources FROM s GROUP BY 1, 2, 3",
+    + ", s AS (SELECT *, CASE WHEN regexp_matches(base_font, '(?i)bold|black|heavy') THEN 'bold' ELSE 'normal' END AS weight, CASE format WHEN 'woff2' THEN 1 WHEN 'woff' THEN 2 WHEN 'truetype' THEN 3 ELSE 4 END AS p FROM fonts) SELECT family, weight, style, count(*) AS n, array_to_string(list(format || ':' || seq ORDER BY p, seq), ',') AS sources FROM s GROUP BY 1, 2, 3",
 )
 def q26(s, d):
     return fonts.faces(_fonts(s, d))
 
 
-@query("q26b_font_pages", q.with_(q.FONTS) + "SELECT job, lower(family) AS family, format, min(seq) AS seq, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages FROM fonts GROUP BY 1, 2, 3")
+@query("q26b_font_pages", q.with_(q.FONTS) + "SELECT job, lower(family) AS family, format, left(sha256(content), 8) AS hash, min(seq) AS seq, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages FROM fonts GROUP BY 1, 2, 3, 4")
 def q26b(s, d):
     return fonts.dedupe(_fonts(s, d))
 

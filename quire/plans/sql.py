@@ -85,7 +85,7 @@ confidence AS (
 FONTS = """
 fonts AS (
   SELECT p_partkey AS seq, p_partkey % 97 AS job, 'ABCDEF+' || replace(p_brand, '#', ' ') || CASE WHEN p_partkey % 3 = 0 THEN '-Bold' ELSE '' END AS base_font, replace(p_brand, '#', ' ') AS family,
-    ['woff2', 'woff', 'truetype', 'opentype', 'type1'][p_size % 5 + 1] AS format, CASE WHEN contains(p_type, 'STEEL') THEN 'italic' ELSE 'normal' END AS style, p_size % 10 AS page FROM part)"""
+    ['woff2', 'woff', 'truetype', 'opentype', 'type1'][p_size % 5 + 1] AS format, CASE WHEN contains(p_type, 'STEEL') THEN 'italic' ELSE 'normal' END AS style, p_size % 10 AS page, p_brand || (p_partkey % 2) AS content FROM part)"""
 
 
 def clean(value: str) -> str:

@@ -53,7 +53,7 @@ def fonts(part: DataFrame) -> DataFrame:
     """Fonts with family, format, weight and the page that they were found on."""
     formats = F.array(*[F.lit(x) for x in ("woff2", "woff", "truetype", "opentype", "type1")])
     family = F.regexp_replace(F.col("p_brand"), "#", " ")
-    return part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 97).alias("job"), F.concat(F.lit("ABCDEF+"), family, F.when(F.col("p_partkey") % 3 == 0, F.lit("-Bold")).otherwise(F.lit(""))).alias("base_font"), family.alias("family"), F.element_at(formats, F.col("p_size") % 5 + 1).alias("format"), F.when(F.col("p_type").contains("STEEL"), "italic").otherwise("normal").alias("style"), (F.col("p_size") % 10).alias("page"))
+    return part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 97).alias("job"), F.concat(F.lit("ABCDEF+"), family, F.when(F.col("p_partkey") % 3 == 0, F.lit("-Bold")).otherwise(F.lit(""))).alias("base_font"), family.alias("family"), F.element_at(formats, F.col("p_size") % 5 + 1).alias("format"), F.when(F.col("p_type").contains("STEEL"), "italic").otherwise("normal").alias("style"), (F.col("p_size") % 10).alias("page"), F.concat("p_brand", (F.col("p_partkey") % 2).cast("string")).alias("content"))
 
 
 def lines(words_: DataFrame) -> DataFrame:

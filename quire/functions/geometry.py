@@ -81,3 +81,10 @@ def crop(b: Box, width: Column, height: Column) -> Box:
 
 def scale_for(dpi: Column, most: float = 150.0) -> Column:
     return F.least(F.lit(200.0), F.lit(most), F.greatest(F.lit(72.0), dpi)) / 72
+
+
+def quad_box(quad: Column, scale: float, offset_x: float = 0.0, offset_y: float = 0.0) -> Box:
+    """The box around four corners (array x, y, x, y, ...), scaled and moved; at least 0.1 wide and high."""
+    xs, ys = (F.transform(F.sequence(F.lit(first), F.lit(first + 6), F.lit(2)), lambda i: F.element_at(quad, i)) for first in (1, 2))
+    least = F.lit(0.1)
+    return F.array_min(xs) * scale + offset_x, F.array_min(ys) * scale + offset_y, F.greatest(least, (F.array_max(xs) - F.array_min(xs)) * scale), F.greatest(least, (F.array_max(ys) - F.array_min(ys)) * scale)

@@ -87,7 +87,7 @@ def finished(text: Column, tag: Column, w: Column, h: Column) -> Column:
 
 def text_hash(text: Column) -> Column:
     """The rolling 32-bit hash (31 h + c, signed) of a text, below 10,000."""
-    wrapped = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + F.ascii(c) + (1 << 31), F.lit(1 << 32)) - (1 << 31))
+    wrapped = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + F.ascii(c) + (1 << 31), F.lit(1 << 32)) - (1 << 31))
     return F.abs(wrapped % 10000)
 
 

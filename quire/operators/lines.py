@@ -150,3 +150,9 @@ def confidence(blocks: DataFrame, pages: DataFrame, band: float = 3.0, x_gap: fl
 
 def band(score: Column) -> Column:
     return F.when(score >= 0.85, "good").when(score >= 0.6, "warn").otherwise("low")
+
+
+def confidence_series(pages: DataFrame) -> DataFrame:
+    """Pages with their confidence and the mean of all, 2 decimals; ordered by page where they are shown."""
+    mean = pages.agg(fixed(F.avg("confidence"), 2).alias("mean"))
+    return pages.crossJoin(F.broadcast(mean))  # one row

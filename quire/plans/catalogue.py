@@ -138,16 +138,6 @@ def q38(s, d):
     return reviews.job_list(a.jobs(a.table(s, d, "orders")).withColumn("job", F.col("id") % 25), _fixes(s, d), _visits(s, d)).withColumn("updated", F.date_format("updated", "yyyy-MM-dd"))
 
 
-@query(
-    "q39_training_features",
-    q.with_(q.REVIEWS)
-    + """SELECT seq, CASE WHEN type IN ('tag-change', 'delete', 'style-change') THEN 'tag' WHEN type IN ('merge', 'split') THEN 'join' ELSE 'none' END AS target,
-  row_number() OVER (PARTITION BY job, page ORDER BY ts, seq) - 1 AS earlier, coalesce(value, 0) AS value, length(type) AS type_length, CAST(list_sum(list_transform(string_split(type, ''), lambda c: ord(c))) % 1000 AS BIGINT) AS type_hash, page FROM fixes""",
-)
-def q39(s, d):
-    return reviews.features(_fixes(s, d))
-
-
 # lines and measures
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quire.plans import catalogue
+from quire.plans import catalogue, more
 
 from .conftest import SF
 
@@ -12,10 +12,10 @@ def rows(columns, values, order):
     return sorted(repr(tuple(v[i] for i in at)) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(more.ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, SF)
-    want = duck.execute(catalogue.ORACLES[name])
+    got = more.QUERIES[name](spark, SF)
+    want = duck.execute(more.ORACLES[name])
     columns = [d[0] for d in want.description]
     order = sorted(columns)
     assert sorted(got.columns) == order

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -56,9 +57,17 @@ def replace_all(value: Column, table: list[tuple[str, str]]) -> Column:
     return value
 
 
+_DAMAGED = re.compile(DAMAGED)
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @F.pandas_udf(T.StringType())
 def nfc(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
 @F.pandas_udf(T.StringType())
@@ -66,8 +75,8 @@ def latin1_repair(values: pd.Series) -> pd.Series:
     """The text's low bytes read as UTF-8, where that gives a whole text; else the text."""
 
     def one(x):
-        if x is None:
-            return None
+        if x is None or not _DAMAGED.search(x):
+            return x
         y = bytes(ord(c) & 255 for c in x).decode("utf-8", "replace")
         return x if not y or "\ufffd" in y else y
 
@@ -90,7 +99,7 @@ def tidy(value: Column) -> Column:
     value = F.regexp_replace(value, WARNINGS["variation-selector"], "")
     value = F.regexp_replace(value, WARNINGS["control-character"], "")
     value = F.trim(F.regexp_replace(value, SPACE + "+", " "))
-    return F.when(value.rlike("^(?:[A-Z0-9] +){2,}[A-Z0-9]$"), F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
+    return once(value, lambda v: F.when(v.rlike("^(?:[A-Z0-9] +){2,}[A-Z0-9]$"), F.replace(v, F.lit(" "), F.lit(""))).otherwise(v))
 
 
 def profile_replace(value: Column, entries: Column) -> Column:

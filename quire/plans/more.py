@@ -260,7 +260,7 @@ HASH = "abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split({v},
 @query(
     "q52_classified",
     q.with_(q.TOKENS, q.LINES)
-    + f"SELECT page, ln AS id, CASE WHEN ln % 3 = 0 THEN 'span' WHEN size >= 18 THEN 'h1' ELSE 'p' END AS tag, CASE WHEN ln % 3 = 0 THEN floor((0.3 * size / 24 + 0.1 * ({HASH.format(v="'block ' || page || ':' || ln")} % 100) / 100 + 0.6) * 1000 + 0.5) / 1000 ELSE 0.8 END::DOUBLE AS confidence FROM lines",
+    + f"SELECT page, ln AS id, CASE WHEN ln % 3 = 0 THEN 'span' WHEN size >= 18 THEN 'h1' ELSE 'p' END AS tag, CASE WHEN ln % 3 = 0 THEN floor((0.3::DOUBLE * size / 24 + 0.1::DOUBLE * ({HASH.format(v="'block ' || page || ':' || ln")} % 100) / 100 + 0.6::DOUBLE) * 1000 + 0.5) / 1000 ELSE 0.8 END::DOUBLE AS confidence FROM lines",
 )
 def q52(s, d):
     own = a.lines(_words(s, d)).select("page", F.col("ln").alias("id"), "size")
@@ -384,7 +384,7 @@ def q63(s, d):
     return editor.marquee(_words(s, d), drags).select("drag", "page", "ln", "pos")
 
 
-@query("q64_union_of_words", q.with_(q.TOKENS, q.BOXES, q.CLAIMS) + "SELECT page, array_to_string(list(word ORDER BY k), ',') AS words FROM (SELECT page, word, min(s * 100000000000 + at) AS k FROM (SELECT page, 1 - box % 2 AS s, ln * 100000 + pos AS at, ln * 100000 + pos AS word FROM claimed UNION ALL SELECT page, 5, ln * 100000 + pos, ln * 100000 + pos FROM words WHERE pos = 0) GROUP BY 1, 2) GROUP BY 1")
+@query("q64_union_of_words", q.with_(q.TOKENS, q.BOXES, q.CLAIMS) + "SELECT page, array_to_string(list(word ORDER BY k), ',') AS words FROM (SELECT page, word, min(s * 100000000000 + place) AS k FROM (SELECT page, 1 - box % 2 AS s, ln * 100000 + pos AS place, ln * 100000 + pos AS word FROM claimed UNION ALL SELECT page, 5, ln * 100000 + pos, ln * 100000 + pos FROM words WHERE pos = 0) GROUP BY 1, 2) GROUP BY 1")
 def q64(s, d):
     word = F.col("ln") * 100000 + F.col("pos")
     sets = _claimed(s, d).where("box is not null").select("page", (1 - F.col("box") % 2).alias("seq"), word.alias("word")).unionByName(_words(s, d).where("pos = 0").select("page", F.lit(5).alias("seq"), word.alias("word")))

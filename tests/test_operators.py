@@ -176,9 +176,27 @@ def test_fix_application(spark):
     b = spark.createDataFrame([(0, i, 0.0, 0.0, 9.0, 9.0, f"t{i}", "p", 12.0) for i in range(4)], "page long, id long, x double, y double, w double, h double, text string, tag string, size double")
     fields = "page long, seq long, type string, block long, second long, x double, y double, w double, h double, text string, tag string, size double"
     none = (None,) * 4
-    f = spark.createDataFrame([(0, 1, "delete", 0, None, *none, None, None, None), (0, 2, "merge", 1, 2, *none, "t1 t2", None, None), (0, 3, "tag-change", 3, None, *none, None, "h1", None), (0, 4, "move", 99, None, 5.0, None, None, None, None, None, None), (1, 5, "create-group", 7, None, 1.0, 1.0, 5.0, 5.0, "new", None, None)], fields)
+    f = spark.createDataFrame([(0, 1, "delete", 0, None, *none, None, None, None), (0, 2, "merge", 1, 2, *none, "t1 t2", None, None), (0, 3, "tag-change", 3, None, *none, None, "h1", None), (0, 4, "move", 99, None, 5.0, None, None, None, None, None, None), (0, 5, "merge", 3, 0, *none, None, None, 14.0), (1, 5, "create-group", 7, None, 1.0, 1.0, 5.0, 5.0, "new", None, None), (1, 6, "create-group", 8, None, *none, None, "img", None)], fields)
     got = {(r["page"], r["id"]): (r["text"], r["tag"]) for r in blocks.apply_fixes(b, f).collect()}
-    assert got == {(0, 1): ("t1 t2", "p"), (0, 3): ("t3", "h1"), (1, 7): ("new", "p")}
+    # a merge without a text has none and goes; a group is made of its fix alone
+    assert got == {(0, 1): ("t1 t2", "p"), (1, 7): ("new", None), (1, 8): (None, "img")}
+
+
+def test_indent_guard_looks_at_the_whole_block(spark):
+    span = lambda seq, x, y, text: (None, seq, 0.0, x, y, 20.0, 10.0, text, 10.0, "f", 0.0)
+    rows = [span(0, 20.0, 0.0, "a"), span(1, 42.0, 0.0, " b\tc "), span(2, 64.0, 1.0, "d"), span(3, 90.0, 1.0, None), span(4, 90.0, 1.0, "  ")]
+    spans = spark.createDataFrame(rows, "page long, seq long, margin double, x double, y double, w double, h double, text string, size double, font string, rotation double")
+    got = blocks.merge_spans(spans).orderBy("x").collect()
+    assert [(r["page"], r["text"], r["spans"]) for r in got] == [(None, "ab c", 2), (None, "d", 1)]
+
+
+def test_training_needs_rows_and_learns(spark):
+    rows = [(i, "merge" if i % 2 else "split", 10.0 + i % 2 * 8) for i in range(60)]
+    fixes = spark.createDataFrame(rows, "seq long, type string, size double").selectExpr("*", "'' tag", "'normal' weight", "'F' font", "0D x", "0D y", "1D w", "1D h", "'a b' text", "false indented", "0D text_indent", "0D padding_left")
+    made = reviews.features(fixes)
+    learned = reviews.train(made, "join")
+    assert learned["accuracy"] == 1.0 and max(learned["importances"], key=learned["importances"].get) == "size"
+    assert reviews.train(made, "tag") is None
 
 
 def test_style_ids_are_stable(spark):

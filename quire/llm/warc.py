@@ -1,14 +1,17 @@
 """WARC archives written from pages, read back, and indexed by an external merge.
 
 Each task writes its pages, sorted by URL key and time, as one archive of records compressed one by
-one: a sorted capture run. Reading gives each run's entries in that order. The entries are dealt
-out by ranges of URL key, time and page, and each range merges its slices of all runs with a loser
-tree, so the result is ordered over all partitions: capture histories.
+one: a sorted capture run. Reading an archive gives its entries in that order, which are written as an
+index run in the shared folder, RUN_ROWS entries a block (where the order breaks, a new run begins).
+The merge is external: a range of URL key, time and page streams the blocks of all runs that reach
+into it, a block of each run at a time, through a loser tree; over FAN runs are merged in passes. A
+bounded sample of blocks says where ranges begin, which matters for balance alone. The result is
+ordered over all partitions: capture histories.
 
 A null html is empty, a null url an empty key. Of pages with equal payloads the one with the
 smallest page_id is the response; repeated rows with just that page_id are responses too, and rows
 without a page_id are revisits where any row of the group has one, else responses. No rows give no
-rows. Other columns are not read."""
+rows. Very long texts are one record each, read whole. Other columns are not read, whatever their names."""
 
 from __future__ import annotations
 
@@ -16,23 +19,28 @@ import base64
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import groupby, islice
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_arrow, join_sized, materialise, scratch
+from .common import bounded_arrow, join_sized, materialise, open_shared, scratch
 
 FIRST_CAPTURE = datetime(2020, 1, 1, tzinfo=UTC)
 INDEX = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, captured_at string, run int, place long"
 #: Characters of addresses that go into a header as they are; the percent sign is not one, so that quoting can be undone.
 URL_SAFE = ":/?#[]@!$&'()*+,;=-._~"
-#: Entries that a merging task holds.
-RANGE_ROWS = 500_000
+#: Entries of a block of an index run, of a range (about), and runs that are merged at once.
+RUN_ROWS, RANGE_ROWS, FAN = 1024, 200_000, 256
+#: Blocks that are looked at to choose where ranges begin.
+SAMPLE = 2000
 
 
 def url_key(url: F.Column) -> F.Column:
@@ -43,13 +51,6 @@ def url_key(url: F.Column) -> F.Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
 
 
-def _open(path: str, write: bool):
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path)
-    return store.open_output_stream(name, compression=None) if write else store.open_input_stream(name, compression=None)
-
-
 def record(page_id: int | None, url: str | None, time: str, payload: bytes, digest: str, first: int | None) -> bytes:
     """One WARC record; first: the response that a revisit stands for."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -64,7 +65,7 @@ def record(page_id: int | None, url: str | None, time: str, payload: bytes, dige
 
 def _members(path: str) -> Iterator[bytes]:
     """The records of an archive, one after the other."""
-    with _open(path, False) as f:
+    with open_shared(path) as f:
         held, unzip, parts = b"", zlib.decompressobj(31), []
         while True:
             held = held or f.read(1 << 20)
@@ -116,7 +117,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         try:
             for batch in batches:
                 for x in batch.to_pylist():
-                    out = out or _open(path, True)
+                    out = out or open_shared(path, True)
                     time = (FIRST_CAPTURE + timedelta(seconds=(x["page_id"] or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
                     zipped = zlib.compressobj(1, zlib.DEFLATED, 31)
                     raw = record(x["page_id"], x["url"], time, x["payload"], base64.b32encode(x["sha"]).decode(), x["first"])
@@ -194,34 +195,132 @@ class LoserTree:
             self._play(i)
 
 
-def merge_index(entries: DataFrame) -> DataFrame:
-    """All entries ordered by URL key, time and page over the partitions, from their sorted runs."""
+def _key(x: dict) -> tuple:
+    return x["url_key"], x["captured_at"], x["page_id"] is not None, x["page_id"] or 0
+
+
+class _Runs:
+    """Writes entries as index runs: sorted files of blocks. made: path, block, rows, first and last key of each."""
+
+    def __init__(self, base: str, name: str, schema: pa.Schema, rows: int):
+        self.base, self.name, self.schema, self.rows = base, name, schema, rows
+        self.made: list[tuple] = []
+        self.held: list[dict] = []
+        self.files, self.out, self.writer, self.last = 0, None, None, None
+
+    def add(self, x: dict) -> None:
+        now = _key(x)
+        if self.last is not None and now < self.last:
+            self.close()
+        if len(self.held) == self.rows:
+            self._block()
+        self.held.append(x)
+        self.last = now
+
+    def _block(self) -> None:
+        if not self.held:
+            return
+        if self.writer is None:
+            self.path, self.block = f"{self.base}/{self.name}-{self.files}.arrow", 0
+            self.out = open_shared(self.path, True)
+            self.writer = pa.ipc.new_file(self.out, self.schema)
+            self.files += 1
+        self.writer.write_batch(pa.RecordBatch.from_pylist(self.held, self.schema))
+        self.made.append((self.path, self.block, len(self.held), *_key(self.held[0]), *_key(self.held[-1])))
+        self.block += 1
+        self.held = []
+
+    def close(self) -> None:
+        """Ends the run."""
+        self._block()
+        if self.writer is not None:
+            self.writer.close()
+            self.out.close()
+            self.writer = None
+        self.last = None
+
+
+def _streamed(path: str, blocks: list[int], low: tuple | None, high: tuple | None) -> Iterator[dict]:
+    """The run's entries from low on and before high, a block at a time."""
+    with open_shared(path) as f:
+        held = pa.ipc.open_file(f)
+        for block in blocks:
+            for x in held.get_batch(block).to_pylist():
+                now = _key(x)
+                if (low is None or now >= low) and (high is None or now < high):
+                    yield x
+
+
+def _merged(runs: dict[str, list[int]], low: tuple | None, high: tuple | None, scratch_name: str, base: str, schema: pa.Schema, rows: int, fan: int) -> Iterator[dict]:
+    """The entries of all runs in order; fan of them at once, more in passes."""
+    passes = 0
+    while len(runs) > fan:
+        longer: dict[str, list[int]] = {}
+        paths = list(runs)
+        for at in range(0, len(paths), fan):
+            out = _Runs(base, f"{scratch_name}-{passes}-{at}", schema, rows)
+            for x in LoserTree([_streamed(p, runs[p], low, high) for p in paths[at : at + fan]], _key):
+                out.add(x)
+            out.close()
+            for path, block, *_ in out.made:
+                longer.setdefault(path, []).append(block)
+        runs, passes = longer, passes + 1
+    yield from LoserTree([_streamed(p, blocks, low, high) for p, blocks in runs.items()], _key)
+
+
+def merge_index(entries: DataFrame, run_rows: int = RUN_ROWS, fan: int = FAN) -> DataFrame:
+    """All entries ordered by URL key, time and page over the partitions, from their sorted runs (rows come by run and place)."""
     spark = entries.sparkSession
-    held = materialise(entries, "entries")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // RANGE_ROWS))
-    dealt = held.repartitionByRange(n, "url_key", "captured_at", "page_id", "run", "place").sortWithinPartitions("run", "place")
-    columns = held.columns
+    base = scratch(spark, "runs")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    schema = to_arrow_schema(entries.schema)
+    key = "{0}_url string, {0}_at string, {0}_has boolean, {0}_page long"
+    names = ["path", "block", "rows", *(f"{e}_{c}" for e in ("first", "last") for c in ("url", "at", "has", "page"))]
+    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.string(), pa.string(), pa.bool_(), pa.int64()] * 2]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[dict]] = {}
-        schema = None
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        out = _Runs(base, f"run-{task.partitionId():06d}-{task.taskAttemptId()}", schema, run_rows)
+        before = None
         for batch in batches:
-            schema = batch.schema
             for x in batch.to_pylist():
-                runs.setdefault(x["run"], []).append(x)
-        if schema is None:
-            return
-        key = lambda x: (x["url_key"], x["captured_at"], x["page_id"] is not None, x["page_id"] or 0)
-        tree = LoserTree([iter(sorted(r, key=key) if any(key(a) > key(b) for a, b in zip(r, r[1:])) else r) for r in runs.values()], key)
-        part: list[dict] = []
-        for x in tree:
-            part.append(x)
-            if len(part) == 10_000:
+                if before is not None and x["run"] != before:
+                    out.close()
+                before = x["run"]
+                out.add(x)
+        out.close()
+        if out.made:
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*out.made), kinds)], names=names)
+
+    blocks = materialise(entries.mapInArrow(write, f"path string, block int, rows long, {key.format('first')}, {key.format('last')}"), "blocks")
+    total = blocks.agg(F.sum("rows")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
+    seen = sorted(tuple(r) for r in blocks.orderBy(F.xxhash64("path", "block")).limit(SAMPLE).select(*names[3:7]).collect())
+    edges = sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                first, last = (bisect_right(edges, tuple(x[f"{e}_{c}"] for c in ("url", "at", "has", "page"))) for e in ("first", "last"))
+                out += [(r, x["path"], x["block"]) for r in range(first, last + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.string(), pa.int32()))], names=["range", "path", "block"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("range", "path", "block"))))
+        for r, own in groupby(rows, lambda x: x[0]):
+            runs: dict[str, list[int]] = {}
+            for _, path, block in own:
+                runs.setdefault(path, []).append(block)
+            low, high = edges[r - 1] if r else None, edges[r] if r < len(edges) else None
+            made = _merged(runs, low, high, f"pass-{r}-{task.taskAttemptId()}", base, schema, run_rows, fan)
+            while part := list(islice(made, 10_000)):
                 yield pa.RecordBatch.from_pylist(part, schema)
-                part = []
-        yield pa.RecordBatch.from_pylist(part, schema)
 
-    return dealt.select(*columns).mapInArrow(run, held.schema)
+    dealt = blocks.mapInArrow(reach, "range int, path string, block int").repartitionByRange(n, "range").sortWithinPartitions("range", "path", "block")
+    return dealt.mapInArrow(merge, entries.schema)
 
 
 def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

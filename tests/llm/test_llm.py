@@ -439,6 +439,45 @@ def test_media_are_found_and_carved(spark, kind):
     assert row[0]["confirmed"] == kind and bytes(row[0]["media"][0]["content"]) == cell and row[1]["media"] == []
 
 
+def test_media_features(spark, docs):
+    """Every column of the query, from what was stored."""
+    got = {r["doc_id"]: r for r in queries.op9_media(spark, SF).collect()}
+    seen = set()
+    for i, t in zip(docs.doc_id, docs.text):
+        p = media.pad((t or "").encode())
+        check = zlib.crc32(p)
+        stored = media.store(p, media.STORED[check % 3])
+        inside, r = check // 4 % 2, got[i]
+        start = check // 64 % (len(media.BEFORE) + 1) if inside else 0
+        confirmed = "container" if start else media.STORED[check % 3]
+        declared = media.DECLARED[check // 8 % 5]
+        s = np.frombuffer(p, np.uint8).astype(int)
+        assert (r["media_bytes"], r["media_sha256"], r["media_type"]) == (len(stored), hashlib.sha256(stored).hexdigest(), media.STORED[check % 3])
+        assert r["feature"] == f"declared={declared};confirmed={confirmed};corrected={int(confirmed != declared)};carved={media.STORED[check % 3]}@{start};rows={len(p) // 64};sum={s.sum()};squares={(s * s).sum()};levels={len(set(s.tolist()))}"
+        seen.add((confirmed == declared, inside))
+    assert len(seen) > 2
+
+
+def test_png_filters():
+    rng = np.random.default_rng(0)
+    samples = rng.integers(0, 256, (10, 8)).astype(int)
+    lines = []
+    for y, row in enumerate(samples):
+        up = samples[y - 1] if y else np.zeros(8, int)
+        line = [y % 5]
+        for x in range(8):
+            a, b, c = (row[x - 1] if x else 0), up[x], (up[x - 1] if x else 0)
+            paeth = min((a, b, c), key=lambda v: abs(a + b - c - v))
+            line.append((row[x] - [0, a, b, (a + b) // 2, paeth][y % 5]) % 256)
+        lines.append(line)
+    assert media.unfiltered(np.array(lines, np.uint8)) == samples.astype(np.uint8).tobytes()
+
+
+def test_jpeg_with_lone_markers_and_fill():
+    head = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xff\xdb\x00\x03x\xff\x01\xff\xda\x00\x02data\xff\xd9"
+    assert media.sniff(b"..." + head + b"...") == [media.Found("jpeg", 3, len(head))]
+
+
 def test_media_odd(odd, none):
     rows = media.text_media(odd).collect()
     assert len(rows) == len(odd_rows()) and {r["payload_bytes"] for r in rows if r["doc_id"] in (0, 1)} == {64}
@@ -460,6 +499,17 @@ def test_warc(spark):
     assert warc.captures(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_merges_many_runs_in_passes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), f"http://h{rng.integers(0, 5)}.org/{rng.integers(0, 4)}", "x" * int(rng.integers(0, 5)), "own", 1) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, url_key string, run int").repartition(9)
+    got = warc.merge_index(warc.read_archives(warc.write_archives(pages)), run_rows=3, fan=2).collect()
+    order = [(r["url_key"], r["captured_at"], r["page_id"]) for r in got]
+    assert order == sorted(order) and sorted(r["page_id"] for r in got) == list(range(200))
+    first = {t: min(i for i, _, h, *_ in rows if h == t) for _, _, t, *_ in rows}
+    assert all((r["page_id"] if r["refers_to"] is None else r["refers_to"]) == first["x" * r["payload_bytes"]] for r in got)
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     for k in (1, 2, 3, 7):

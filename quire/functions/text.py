@@ -112,7 +112,7 @@ def normalise(value: Column, entries: Column | None = None, unicode: bool = True
     value = nfc(value) if unicode else value
     value = replace_all(value, MOJIBAKE)
     if unicode:
-        value = F.when(value.rlike(DAMAGED), latin1_repair(value)).otherwise(value)
+        value = latin1_repair(value)
     value = replace_all(value, LIGATURES)
     if entries is not None:
         value = profile_replace(value, entries)

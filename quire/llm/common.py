@@ -132,6 +132,15 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = BA
     release()
 
 
+def settle(spark: SparkSession) -> None:
+    """Asks the executors' JVMs to collect their garbage, which gives heap that they no longer need back to the machine.
+
+    A JVM keeps the heap that its busiest moment took; the Python workers beside it live on what is left of an
+    executor's memory. Call it before work that is done in Python. It is a request: results do not depend on it."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def release() -> None:
     """Gives unused memory back at a task's end: workers are kept for other tasks, which need it too."""
     pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow, fits, materialise, text_array, text_batches
+from .common import bounded_arrow, fits, materialise, settle, text_array, text_batches
 from .pieces import Memory, chunks, gather
 
 LENGTH = 2048
@@ -250,6 +250,7 @@ def measured(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id",
 
 def pack(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    settle(df.sparkSession)
     docs = materialise(measured(df, path, end_id, id_col, text_col), "measured")
     local = docs.groupBy("part", "rest").agg(F.count("*").alias("n")).unionByName(docs.groupBy("part").agg(F.sum(F.size("full_crcs")).cast("long").alias("n")).withColumn("rest", F.lit(LENGTH)))
     ahead = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow, join_sized, materialise, text_array, text_batches
+from .common import bounded_arrow, join_sized, materialise, settle, text_array, text_batches
 
 LENGTH = 200
 GRAM = 48
@@ -206,6 +206,7 @@ def repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
     bounded_arrow(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(df.select(F.col(text_col).cast("string").alias("text")), "text").where("octet_length(text) >= %d" % LENGTH)
+    settle(spark)
     found = materialise(chosen_spans(texts), "spans")
     grams = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")  # written, so that a hot gram's side of the join can be split
     shared = materialise(found.join(grams, "gram", "left_semi"), "shared")
@@ -219,6 +220,7 @@ def repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
     cut = join_sized(texts.withColumn("raw", F.encode("text", "UTF-8")).drop("text"), lists, ["k1", "k2"], "inner").select("k1", "k2", "raw", places)
     cut = cut.select("k1", "k2", "a.*", F.expr(f"substring(raw, cast(a.lo + 1 as int), a.more + {LENGTH})").alias("bytes")).drop("more")
     cut = materialise(cut.groupBy("gram", "content").agg(*[F.first(c).alias(c) for c in ("k1", "k2", "lo", "n", "kinds", "bytes")]), "contexts")
+    settle(spark)
     near = cut.where(F.col("kinds") <= GROUP).repartition(parts, "gram").sortWithinPartitions("gram").select("gram", "k1", "k2", "lo", "n", "bytes").mapInArrow(_refined, "k1 long, k2 long, start long, end long")
     strings = materialise(cut.where(F.col("kinds") > GROUP).select("k1", "k2", "lo", "n", "bytes").mapInArrow(_strings, "w1 long, w2 long, k1 long, k2 long, start long, n long"), "strings")
     again = strings.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")

@@ -219,7 +219,7 @@ def pad(text: bytes) -> bytes:
 
 #: Declared types, and bytes around the media of a container: false beginnings that no validator confirms.
 DECLARED = (*STORED, "gif", "octet-stream")
-BEFORE, AFTER = b"part\r\n\r\nBM RIFF\x89PNG GIF89a \xff\xd8\xff\x00", b"\r\n--end BM"
+BEFORE, AFTER = b"part\r\n\r\nBM RIFF\x89PNG GIF8 \xff\xd8\xff\x00", b"\r\n--end BM"
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +235,9 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         check = zlib.crc32(payload)
         media, declared = store(payload, STORED[check % len(STORED)]), DECLARED[check // 8 % len(DECLARED)]
         cell = BEFORE[: check // 64 % (len(BEFORE) + 1)] + media + AFTER if check // 4 % 2 else media
-        found = next(f for f in sniff(cell) if f.length == len(media))
+        found = max(sniff(cell), key=lambda f: f.length)
+        if found.length != len(media):
+            raise ValueError("the media that was stored is not found")
         back = load(cell, found)
         samples = np.frombuffer(back, np.uint8).astype(np.int64)
         kind = found.kind if found.start == 0 else "container"

@@ -458,6 +458,15 @@ def test_media_features(spark, docs):
     assert len(seen) > 2
 
 
+def test_media_in_containers_are_found():
+    rng = np.random.default_rng(0)
+    for n in range(len(media.BEFORE) + 1):
+        for kind in media.STORED:
+            for size in rng.integers(1, 40, 4):
+                stored = media.store(bytes(rng.integers(0, 256, 64 * int(size), dtype=np.uint8)) if size % 2 else media.pad(b"; ! , BM RIFF " * int(size)), kind)
+                assert media.sniff(media.BEFORE[:n] + stored + media.AFTER) == [media.Found(kind, n, len(stored))]
+
+
 def test_png_filters():
     rng = np.random.default_rng(0)
     samples = rng.integers(0, 256, (10, 8)).astype(int)

@@ -63,6 +63,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files of a table from materialise() that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if name not in {p for _, p in _made} and not any(name.endswith(p.split("://")[-1]) for _, p in _made):
+            raise ValueError("not a table of materialise()")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def open_shared(path: str, write: bool = False):
     """A file of the shared folder, from a worker."""
     store, name = fs.FileSystem.from_uri(path)

@@ -57,10 +57,20 @@ def rotation(dx: Column, dy: Column) -> Column:
     return F.when(F.hypot(dx, dy) < 0.01, F.lit(0.0)).otherwise(snapped)
 
 
-def turned(b: Box, angle: Column) -> Box:
-    """The box that a word turned by a right angle takes up."""
-    turn = F.abs(F.coalesce(angle, F.lit(0.0))) == 90
-    return (F.when(turn, b[0] + (b[2] - b[3]) / 2).otherwise(b[0]), F.when(turn, b[1] + (b[3] - b[2]) / 2).otherwise(b[1]), F.when(turn, b[3]).otherwise(b[2]), F.when(turn, b[2]).otherwise(b[3]))
+def css_box(b: Box, angle: Column) -> Box:
+    """Where a word that takes up b is placed, so that turning it by a right angle about its top left corner lays it over b."""
+    side, half = F.abs(angle) == 90, F.abs(angle) == 180
+    left = F.when((angle == 90) | half, b[0] + b[2]).otherwise(b[0])
+    top = F.when((angle == -90) | half, b[1] + b[3]).otherwise(b[1])
+    return left, top, F.when(side, b[3]).otherwise(b[2]), F.when(side, b[2]).otherwise(b[3])
+
+
+def visual_box(b: Box, angle: Column) -> Box:
+    """What a word placed at b takes up once it is turned about its top left corner; css_box() the other way round."""
+    side, half = F.abs(angle) == 90, F.abs(angle) == 180
+    x = F.when(angle == 90, b[0] - b[3]).when(half, b[0] - b[2]).otherwise(b[0])
+    y = F.when(angle == -90, b[1] - b[2]).when(half, b[1] - b[3]).otherwise(b[1])
+    return x, y, F.when(side, b[3]).otherwise(b[2]), F.when(side, b[2]).otherwise(b[3])
 
 
 def clamped(b: Box, width: Column, height: Column, least: float = 4.0) -> Box:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import insort
+from collections import deque
+from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,23 +31,48 @@ def editor_tolerance(words: DataFrame) -> DataFrame:
     return words.groupBy("page").agg(F.greatest(F.lit(3.0), F.avg("h") * 0.55).alias("tolerance"))
 
 
-def median_lines(words: DataFrame) -> DataFrame:
-    """line of each word: words by y and x go to the first line whose median y is within max(2, 0.45 h)."""
+class Ordered:
+    """Numbers in order, with their median; kept as the halves under and over it, so that adding one moves a few only."""
 
-    def median(ys: list[float]) -> float:
-        n = len(ys)
-        return ys[n // 2] if n % 2 else (ys[n // 2 - 1] + ys[n // 2]) / 2
+    def __init__(self, first: float) -> None:
+        self.low, self.high = [-first], []  # heaps: the largest and the smallest of each half come first
 
-    def step(lines, y, h):
+    def add(self, value: float) -> None:
+        if value <= -self.low[0]:
+            heappush(self.low, -value)
+        else:
+            heappush(self.high, value)
+        if len(self.low) > len(self.high) + 1:
+            heappush(self.high, -heappop(self.low))
+        elif len(self.high) > len(self.low):
+            heappush(self.low, -heappop(self.high))
+
+    @property
+    def median(self) -> float:
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+
+
+def median_lines(words: DataFrame, by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """line of each word: words by y and x go to the first line whose median y is within max(2, 0.45 h).
+
+    A line that lies further above a word than the tallest word of its group can reach takes no more words, since later ones lie lower still: it
+    is let go, so that a word meets the few lines near it and the state is those."""
+    by, order = by or ["page"], order or ["y", "x", "ln", "pos"]
+    most = F.greatest(F.lit(2.0), 0.45 * F.max("h").over(Window.partitionBy(*by)))
+
+    def step(state, y, h, most):
+        lines, n = state
+        while lines and y - lines[0][0].median > most:
+            lines.popleft()
         reach = max(2.0, 0.45 * h)
-        for i, ys in enumerate(lines):
-            if abs(median(ys) - y) <= reach:
-                insort(ys, y)
-                return lines, i
-        lines.append([y])
-        return lines, len(lines) - 1
+        for ys, i in lines:
+            if abs(ys.median - y) <= reach:
+                ys.add(y)
+                return state, i
+        lines.append((Ordered(y), n))
+        return (lines, n + 1), n
 
-    return scan(words, ["page"], ["y", "x", "ln", "pos"], list, step, ["y", "h"], "line", "int")
+    return scan(words.withColumn("_most", most), by, order, lambda: (deque(), 0), step, ["y", "h", "_most"], "line", "int").drop("_most")
 
 
 def left_margin(words: DataFrame) -> DataFrame:
@@ -104,7 +130,7 @@ def columns(starts: list[float], tolerance: float) -> list[float]:
     for x in sorted(starts):
         for i, (mean, n) in enumerate(clusters):
             if abs(x - mean) <= tolerance:
-                clusters[i] = (mean + (x - mean) / (n + 1), n + 1)
+                clusters[i] = ((mean * n + x) / (n + 1), n + 1)
                 break
         else:
             clusters.append((x, 1))

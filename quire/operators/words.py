@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.numbers import fixed
 from quire.functions.text import SPACE, decode_entities, normalise, strip_tags
 
+from .scan import walk
+
 STYLE = ["size", "font", "weight", "style", "color", "rotation"]
 
 
@@ -76,30 +79,44 @@ def rotations(lines: DataFrame, hints: DataFrame, near: float = 2.0) -> DataFram
     return lines.drop("rotation").join(best, ["page", "seq"], "left")
 
 
-def colours(lines: DataFrame, runs: DataFrame, attempts: int = 12) -> DataFrame:
-    """color of each line (page, seq, text, x, y) from runs (page, seq, text, x, y, color), walked together from one cursor.
+def colours(lines: DataFrame, runs: DataFrame, attempts: int = 12, unicode: bool = True) -> DataFrame:
+    """color of each line (page, seq, text, x, y) from runs (page, seq, text, x, y, color), both read in order with one cursor.
 
-    Of the runs after the cursor, at most attempts, one with the same text wins; else the nearest that holds the text or is held by it."""
-    kind = lines.schema["page"].dataType.simpleString()
+    A line tries the runs after the cursor, at most attempts; each one tried is spent, whether it matches or not. The first with the same text
+    gives its colour; without one the nearest that holds the text or is held by it does. Blank lines try none, blank runs count as tries.
 
-    def walk(key, own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        run = list(others.sort_values("seq")[["text", "x", "y", "color"]].itertuples(index=False, name=None))
-        norm = lambda t: " ".join((t or "").split())
-        cursor, out = 0, []
-        for seq, text, x, y in own.sort_values("seq")[["seq", "text", "x", "y"]].itertuples(index=False, name=None):
-            best, far, mine = None, None, norm(text)
-            for i in range(cursor, min(len(run), cursor + attempts)):
-                theirs = norm(run[i][0])
-                if theirs == mine:
-                    best = i
-                    break
-                d = abs(run[i][1] - x) + 2 * abs(run[i][2] - y)
-                if theirs and mine and (theirs in mine or mine in theirs) and (far is None or d < far):
-                    best, far = i, d
-            if best is not None:
-                cursor = best + 1
-            out.append((key[0], seq, None if best is None else run[best][3]))
-        return pd.DataFrame(out, columns=["page", "seq", "color"])
-
-    found = lines.groupBy("page").cogroup(runs.groupBy("page")).applyInPandas(walk, f"page {kind}, seq long, color string")
+    Both tables are one sorted stream, a page's lines before its runs: a page's open lines are held, no run is."""
+    kind = lines.schema["page"].dataType.simpleString()
+    text = normalise(F.coalesce("text", F.lit("")), unicode=unicode)
+    shared = ["page", F.col("seq").cast("long").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
+    own = lines.select(*shared, F.lit(0).alias("tag"), text.alias("text"), F.lit(None).cast("string").alias("color")).where("text <> ''")
+    both = own.unionByName(runs.select(*shared, F.lit(1).alias("tag"), text.alias("text"), "color"))
+
+    def each(page, rows):
+        waiting: deque[tuple] = deque()
+        tried, far, found = 0, None, None
+        for _, seq, x, y, tag, words, color in rows:
+            if tag == 0:
+                waiting.append((seq, x, y, words))
+                continue
+            if not waiting:
+                continue
+            line, lx, ly, mine = waiting[0]
+            tried += 1
+            done = words == mine
+            if done:
+                found = color
+            elif words and (words in mine or mine in words) and None not in (x, y, lx, ly):
+                off = abs(x - lx) + 2 * abs(y - ly)
+                if far is None or off < far:
+                    far, found = off, color
+            if done or tried == attempts:
+                yield page, line, found
+                waiting.popleft()
+                tried, far, found = 0, None, None
+        for line, *_ in waiting:
+            yield page, line, found
+            found = None
+
+    found = walk(both, ["page"], ["tag", "seq"], each, f"page {kind}, seq long, color string")
     return lines.drop("color").join(found, ["page", "seq"], "left")

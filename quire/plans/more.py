@@ -39,9 +39,9 @@ ESCAPED = "replace(replace(replace(replace(replace({v}, '&', '&amp;'), '<', '&lt
 STYLED = f"""
 styled AS (
   SELECT *, row_number() OVER (PARTITION BY page ORDER BY ln, pos) - 1 AS word, {pick(FAMILIES, 'ln % 3')} AS font, CASE WHEN bold THEN 'bold' ELSE 'normal' END AS weight, CASE WHEN pos % 7 = 3 THEN 'italic' ELSE 'normal' END AS style,
-    {pick(COLOURS, 'pos % 4')} AS color, CASE WHEN (ln + pos) % 17 = 5 THEN 90.0 WHEN (ln + pos) % 19 = 5 THEN 12.5 ELSE 0.0 END AS rotation FROM words),
+    {pick(COLOURS, 'pos % 4')} AS color, CASE WHEN (ln + pos) % 17 = 5 THEN 90.0 WHEN (ln + pos) % 19 = 5 THEN 12.5 WHEN (ln + pos) % 23 = 5 THEN -90.0 WHEN (ln + pos) % 29 = 5 THEN 180.0 ELSE 0.0 END::DOUBLE AS rotation FROM words),
 turned AS (
-  SELECT *, CASE WHEN rotation = 90 THEN x + (w - h) / 2 ELSE x END AS tx, CASE WHEN rotation = 90 THEN y + (h - w) / 2 ELSE y END AS ty, CASE WHEN rotation = 90 THEN h ELSE w END AS tw, CASE WHEN rotation = 90 THEN w ELSE h END AS th,
+  SELECT *, CASE rotation WHEN 90 THEN x + w WHEN 180 THEN x + w ELSE x END AS tx, CASE rotation WHEN -90 THEN y + h WHEN 180 THEN y + h ELSE y END AS ty, CASE WHEN rotation IN (90, -90) THEN h ELSE w END AS tw, CASE WHEN rotation IN (90, -90) THEN w ELSE h END AS th,
     CASE WHEN regexp_matches(color, '^#[0-9A-Fa-f]{{3,6}}$') OR regexp_matches(color, '(?i)^rgba?\\(') THEN color ELSE '#000000' END AS paint FROM styled)"""
 
 
@@ -49,7 +49,7 @@ def _styled(s: SparkSession, d: str) -> DataFrame:
     ln, pos = F.col("ln"), F.col("pos")
     return _words(s, d).withColumns({
         "word": F.row_number().over(Window.partitionBy("page").orderBy("ln", "pos")).cast("long") - 1, "font": chosen(FAMILIES, ln % 3), "weight": F.when(F.col("bold"), "bold").otherwise("normal"), "style": F.when(pos % 7 == 3, "italic").otherwise("normal"),
-        "color": chosen(COLOURS, pos % 4), "rotation": F.when((ln + pos) % 17 == 5, 90.0).when((ln + pos) % 19 == 5, 12.5).otherwise(0.0),
+        "color": chosen(COLOURS, pos % 4), "rotation": F.when((ln + pos) % 17 == 5, 90.0).when((ln + pos) % 19 == 5, 12.5).when((ln + pos) % 23 == 5, -90.0).when((ln + pos) % 29 == 5, 180.0).otherwise(0.0),
     })
 
 
@@ -131,11 +131,14 @@ def q44(s, d):
 @query(
     "q45_html_runs",
     q.with_(q.TOKENS, q.LINES)
-    + "SELECT page, (row_number() OVER (PARTITION BY page ORDER BY ln, part) - 1)::INT AS seq, x, y, CASE WHEN part = 0 THEN '#a0b1c2' END AS color, CASE WHEN part = 0 THEN text ELSE 'tail & A' || ln END AS text FROM lines, (SELECT unnest([0, 1]) AS part)",
+    + "SELECT page, (row_number() OVER (PARTITION BY page ORDER BY ln, part) - 1)::INT AS seq, x, y, CASE WHEN part = 0 THEN '#a0b1c2' END AS color, CASE WHEN part = 0 THEN regexp_replace(text, '<[^>]+>', '', 'g') ELSE 'tail & A' || ln || ' mark  end' END AS text FROM lines, (SELECT unnest([0, 1]) AS part) WHERE ln % 11 <> 7",
 )
 def q45(s, d):
     ln = F.col("ln").cast("string")
-    one = F.concat(F.lit('<p style="top:'), pages.number(F.col("y")), F.lit("pt;left:"), pages.number(F.col("x")), F.lit('pt"><span style="font-size:9pt; color:#a0b1c2"><b>'), tx.escape_html(F.col("text")), F.lit('</b></span><span style="x:y">tail &amp; &#65;'), ln, F.lit("</span></p>"))
+    tags = lambda plain, loud: F.when(F.col("ln") % 3 == 1, loud).otherwise(plain)
+    start = F.concat(tags("<p id='a' style=\"top:", '<P STYLE = "TOP: '), pages.number(F.col("y")), tags("pt;left:", "PT; Left :"), pages.number(F.col("x")), tags('pt">', 'Pt;" lang="x">'))
+    spans = F.concat(tags('<span style="font-size:9pt; color:#a0b1c2"><b>', '<SPAN class="a" Style="COLOR:#a0b1c2">'), tx.escape_html(F.col("text")), tags("</b></span>", "</SPAN>"), F.lit('<span class="y">unstyled</span><span style="x:y">tail &amp; &#65;'), ln, F.lit(" mark &lt;b&gt; end</span>"))
+    one = F.when(F.col("ln") % 11 == 7, F.concat(F.lit("<p>"), spans, F.lit("</p>"))).otherwise(F.concat(start, spans, tags("</p>", "</P>")))
     html = a.lines(_words(s, d)).withColumn("p", one).groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "p"))), lambda r: r["p"]), "\n").alias("html"))
     return pages.runs(html)
 
@@ -146,10 +149,10 @@ fixed_by AS (
     CASE WHEN p_partkey % 3 = 0 THEN 'page' || (p_partkey % 211 + 1) || '__word' || p_size END AS class, {pick(FAMILIES, 'p_partkey % 3')} AS font, 10.0::DOUBLE + 3 * (p_size % 4) + 0.004 * (p_size % 4) AS size, CASE WHEN p_size % 5 = 0 THEN 'Italic' ELSE 'normal' END AS style,
     (p_size % 5 - 2)::DOUBLE AS top, (p_size % 3 - 1)::DOUBLE AS "left", CASE WHEN p_size % 6 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS spacing FROM part),
 hits AS (
-  SELECT w.page, w.word, w.x, w.y, c.* EXCLUDE (page, word) FROM styled w JOIN fixed_by c ON c.scope = 'span' AND (c.class = 'page' || (w.page + 1) || '__word' || w.word OR c.page = w.page AND c.word = w.word)
-  UNION ALL SELECT w.page, w.word, w.x, w.y, c.* EXCLUDE (page, word) FROM styled w JOIN fixed_by c ON c.scope <> 'span' AND lower(c.font) = lower(w.font) AND lower(c.style) = w.style AND abs(w.size - c.size) < 0.01 AND (c.scope = 'book-font-size' OR c.page = w.page)),
+  SELECT w.page, w.word, c.* EXCLUDE (page, word) FROM turned w JOIN fixed_by c ON c.scope = 'span' AND (c.class = 'page' || (w.page + 1) || '__word' || w.word OR c.page = w.page AND c.word = w.word)
+  UNION ALL SELECT w.page, w.word, c.* EXCLUDE (page, word) FROM turned w JOIN fixed_by c ON c.scope <> 'span' AND lower(c.font) = lower(replace(w.font, '''', '\\''')) AND lower(c.style) = w.style AND abs(w.size - c.size) < 0.01 AND (c.scope = 'book-font-size' OR c.page = w.page)),
 overrides AS (
-  SELECT page, word, x + sum("left") AS "left", y + sum(top) AS top, arg_max(spacing, seq) FILTER (WHERE abs(spacing) > 0.001) AS spacing FROM hits GROUP BY page, word, x, y
+  SELECT page, word, sum("left") AS dx, sum(top) AS dy, arg_max(spacing, seq) FILTER (WHERE abs(spacing) > 0.001) AS spacing FROM hits GROUP BY page, word
   HAVING abs(sum(top)) >= 0.001 OR abs(sum("left")) >= 0.001 OR count(*) FILTER (WHERE abs(spacing) > 0.001) > 0)"""
 
 
@@ -162,22 +165,30 @@ def _given(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _rules(s: SparkSession, d: str) -> DataFrame:
+    return pages.word_rules(_styled(s, d)).select("page", "word", "css")
+
+
 def _overrides(s: SparkSession, d: str) -> DataFrame:
-    named = _styled(s, d).withColumn("class", F.concat(F.lit("page"), (F.col("page") + 1).cast("string"), F.lit("__word"), F.col("word").cast("string")))
-    return pages.override_rules(named.select("page", "word", "class", "x", "y", "size", "font", "style"), _given(s, d))
+    return pages.override_rules(pages.rule_parts(_rules(s, d)).withColumn("at", F.col("word")), _given(s, d))
+
+
+MOVED = f"""
+moved AS (SELECT page, word, {q.r('tx', 2)} + dx AS "left", {q.r('ty', 2)} + dy AS top, spacing,
+  '.page' || (page + 1) || '__word' || word || ' {{ left: ' || {px(f"({q.r('tx', 2)} + dx)", 3)} || '; top: ' || {px(f"({q.r('ty', 2)} + dy)", 3)} || '; width: ' || {px('tw')} || '; height: ' || {px('th')} || '; font-size: ' || {px('size', 3)}
+    || '; font-family: ''' || replace(font, '''', '\\''') || ''', serif; font-weight: ' || weight || '; font-style: ' || style || '; color: ' || paint || ';' || CASE WHEN rotation <> 0 THEN ' transform-origin: top left; transform: rotate(' || {num('rotation')} || 'deg);' ELSE '' END
+    || coalesce(' letter-spacing: ' || {px('spacing', 3)} || ';', '') || ' }}' AS css FROM overrides JOIN turned USING (page, word))"""
 
 
-@query("q46_override_rules", q.with_(q.TOKENS, STYLED, CORRECTED) + f"""SELECT page, word, "left", top, spacing, '.page' || (page + 1) || '__word' || word || ' {{ left: ' || {px('"left"')} || '; top: ' || {px('top')} || coalesce('; letter-spacing: ' || {px('spacing')}, '') || '; }}' AS css FROM overrides""")
+@query("q46_override_rules", q.with_(q.TOKENS, STYLED, CORRECTED, MOVED) + 'SELECT page, word, "left", top, spacing, md5(css) AS css FROM moved')
 def q46(s, d):
-    return _overrides(s, d)
+    return _overrides(s, d).select("page", "word", "left", "top", "spacing", F.md5("css").alias("css"))
 
 
 @query("q46b_affected_pages", q.with_(q.TOKENS, STYLED, CORRECTED) + "SELECT DISTINCT page FROM overrides")
 def q46b(s, d):
-    rules = pages.word_rules(_styled(s, d)).select("page", "word", "css")
-    before = rules.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("css")), "\n").alias("css"))
-    after = rules.unionByName(_overrides(s, d).select("page", "word", "css")).groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("css")), "\n").alias("css"))
-    return pages.changed_pages(before, after)
+    before = _rules(s, d).groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("css")), "\n").alias("css"))
+    return pages.changed_pages(before.withColumn("css", F.concat("css", F.lit("\n"))), pages.with_overrides(before, _overrides(s, d)))
 
 
 @query(
@@ -204,7 +215,7 @@ fo AS (SELECT page, box, font FROM base GROUP BY 1, 2, 3 QUALIFY row_number() OV
 co AS (SELECT page, box, color FROM own GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY page, box ORDER BY sum(greatest(1.0, w * h)) DESC, min(ln * 100000 + pos)) = 1),
 e AS (SELECT b.*, most, sx, sy, r, t.b AS bottom, n, med, font, color, least(greatest(0.0, b.w - 1), sx - b.x) AS l0, least(greatest(0.0, b.h - 1), sy - b.y) AS t0 FROM boxes b LEFT JOIN t USING (page, box) LEFT JOIN m USING (page, box) LEFT JOIN fo USING (page, box) LEFT JOIN co USING (page, box) WHERE tag = 'equation')
 SELECT page, box, {q.r('CASE WHEN n > 0 THEN greatest(6.0, least(greatest(8.0, h * 1.35), med)) ELSE greatest(8.0, h * 0.82) END', 3)} AS size, {q.r('CASE WHEN n > 0 THEN greatest(0.0, l0) ELSE 0.0 END', 3)} AS "left", {q.r('CASE WHEN n > 0 THEN greatest(0.0, t0) ELSE 0.0 END', 3)} AS top,
-  {q.r('CASE WHEN n > 0 THEN greatest(1.0, least(greatest(1.0, w - greatest(0.0, l0)), r - sx)) ELSE w END', 3)} AS width, {q.r('CASE WHEN n > 0 THEN greatest(1.0, least(greatest(1.0, h - greatest(0.0, t0)), bottom - sy)) ELSE h END', 3)} AS height, coalesce(color, '#000000') AS color, coalesce(font, '') AS font, coalesce(n, 0) AS words FROM e""",
+  {q.r('CASE WHEN n > 0 THEN greatest(1.0, least(greatest(1.0, w - greatest(0.0, l0)), r - sx)) ELSE w END', 3)} AS width, {q.r('CASE WHEN n > 0 THEN greatest(1.0, least(greatest(1.0, h - greatest(0.0, t0)), bottom - sy)) ELSE h END', 3)} AS height, coalesce(color, '#000000') AS color, coalesce(font, '') AS font, CASE WHEN contains(lower(coalesce(font, '')), 'times') THEN '''Times New Roman'', ''Cambria Math'', ''STIX Two Math'', serif' ELSE '''Cambria Math'', ''STIX Two Math'', ''Times New Roman'', serif' END AS css_font, coalesce(n, 0) AS words FROM e""",
 )
 def q48(s, d):
     looks = _styled(s, d).select("page", "ln", "pos", "font", colours.sanitised(F.col("color")).alias("color"))
@@ -232,19 +243,6 @@ def q49b(s, d):
     return pages.subtracted(rows, styles.common_declarations(rows, ["page", "ln"]), ["page", "ln"])
 
 
-@query(
-    "q50_final_page",
-    q.with_(q.TOKENS, q.BOXES, q.CLAIMS)
-    + f""", t AS (SELECT page, box, string_agg(text, ' ' ORDER BY ln, pos) AS text FROM claimed GROUP BY 1, 2), e AS (SELECT b.page, b.reading_order AS seq, CASE b.tag WHEN 'img' THEN 'img' WHEN 'equation' THEN 'img' WHEN 'h1' THEN 'h1' ELSE 'p' END AS tag, coalesce(t.text, '') AS text, b.tag AS class FROM boxes b LEFT JOIN t USING (page, box))
-SELECT page, md5(string_agg(CASE WHEN tag = 'img' THEN '<img class="' || class || '" alt="">' ELSE '<' || tag || ' class="' || class || '">' || {ESCAPED.format(v='text')} || '</' || tag || '>' END, chr(10) ORDER BY seq)) AS html FROM e GROUP BY 1""",
-)
-def q50(s, d):
-    text = claim.per_box(_claimed(s, d)).select("page", "box", "text")
-    tag = F.when(F.col("tag").isin("img", "equation"), "img").when(F.col("tag") == "h1", "h1").otherwise("p")
-    rows = _boxes(s, d).join(text, ["page", "box"], "left").select("page", F.col("reading_order").alias("seq"), tag.alias("tag"), F.coalesce("text", F.lit("")).alias("text"), F.col("tag").alias("class"))
-    return pages.final_page(rows).select("page", F.md5("html").alias("html"))
-
-
 # blocks, corrections and training
 
 
@@ -450,19 +448,19 @@ def q68(s, d):
 @query(
     "q69_geometry",
     q.with_(q.TOKENS, q.BOXES)
-    + f""", v AS (SELECT *, (page % 41 - 20)::DOUBLE AS dx, (box * 13 + page % 17 - 8)::DOUBLE AS dy, [90.0, 0.0, -90.0, 45.0][box + 1]::DOUBLE AS angle FROM boxes), u AS (SELECT *, degrees(atan2(dy, dx)) AS raw FROM v), n AS (SELECT *, CASE WHEN raw <= -180 THEN raw + 360 ELSE raw END AS deg FROM u)
+    + f""", v AS (SELECT *, (page % 41 - 20)::DOUBLE AS dx, (box * 13 + page % 17 - 8)::DOUBLE AS dy, [90.0, 180.0, -90.0, 45.0][box + 1]::DOUBLE AS angle FROM boxes), u AS (SELECT *, degrees(atan2(dy, dx)) AS raw FROM v), n AS (SELECT *, CASE WHEN raw <= -180 THEN raw + 360 ELSE raw END AS deg FROM u)
 SELECT page, box, CASE WHEN sqrt(dx * dx + dy * dy) < 0.01 THEN 0.0 WHEN abs(deg) <= 3 THEN 0.0 WHEN abs(deg - 90) <= 3 THEN 90.0 WHEN abs(deg + 90) <= 3 THEN -90.0 WHEN abs(deg - 180) <= 3 OR abs(deg + 180) <= 3 THEN 180.0 ELSE {q.r('deg', 2)} END::DOUBLE AS rotation,
-  CASE WHEN abs(angle) = 90 THEN x + (w - h) / 2 ELSE x END AS turned_x, CASE WHEN abs(angle) = 90 THEN h ELSE w END AS turned_w, least(x, x + dx, x + 5) * 2 + 1 AS quad_x, greatest(0.1, (greatest(x, x + dx, x + 5) - least(x, x + dx, x + 5)) * 2) AS quad_w, greatest(0.1, (greatest(y, y + dy) - least(y, y + dy)) * 2) AS quad_h,
+  CASE angle WHEN 90 THEN x + w WHEN 180 THEN x + w ELSE x END AS css_x, CASE angle WHEN -90 THEN y + h WHEN 180 THEN y + h ELSE y END AS css_y, CASE angle WHEN 90 THEN x - h WHEN 180 THEN x - w ELSE x END AS seen_x, CASE angle WHEN -90 THEN y - w WHEN 180 THEN y - h ELSE y END AS seen_y, CASE WHEN angle IN (90, -90) THEN h ELSE w END AS seen_w, least(x, x + dx, x + 5) * 2 + 1 AS quad_x, greatest(0.1, (greatest(x, x + dx, x + 5) - least(x, x + dx, x + 5)) * 2) AS quad_w, greatest(0.1, (greatest(y, y + dy) - least(y, y + dy)) * 2) AS quad_h,
   least(greatest(floor(x), 0), 99)::BIGINT AS crop_x, (least(greatest(ceil(x + w), least(greatest(floor(x), 0), 99) + 1), 100) - least(greatest(floor(x), 0), 99))::BIGINT AS crop_w, least(greatest(x, 0.0), 250.0 - least(greatest(w, 4.0), 250.0)) AS clamped_x FROM n""",
 )
 def q69(s, d):
     page, k = F.col("page"), F.col("box")
-    rows = _boxes(s, d).withColumns({"dx": (page % 41 - 20).cast("double"), "dy": (k * 13 + page % 17 - 8).cast("double"), "angle": F.element_at(F.array(*[F.lit(v) for v in (90.0, 0.0, -90.0, 45.0)]), (k + 1).cast("int"))})
+    rows = _boxes(s, d).withColumns({"dx": (page % 41 - 20).cast("double"), "dy": (k * 13 + page % 17 - 8).cast("double"), "angle": F.element_at(F.array(*[F.lit(v) for v in (90.0, 180.0, -90.0, 45.0)]), (k + 1).cast("int"))})
     b, x, y = geometry.box(), F.col("x"), F.col("y")
-    turned = geometry.turned(b, F.col("angle"))
+    placed, seen = geometry.css_box(b, F.col("angle")), geometry.visual_box(b, F.col("angle"))
     quad = geometry.quad_box(F.array(x, y, x + F.col("dx"), y + F.col("dy"), x + 5, y, x, y), 2.0, 1.0, 0.0)
     crop, clamped = geometry.crop(b, F.lit(100), F.lit(100)), geometry.clamped(b, F.lit(250.0), F.lit(250.0))
-    return rows.select("page", "box", geometry.rotation(F.col("dx"), F.col("dy")).alias("rotation"), turned[0].alias("turned_x"), turned[2].alias("turned_w"), quad[0].alias("quad_x"), quad[2].alias("quad_w"), quad[3].alias("quad_h"), crop[0].cast("long").alias("crop_x"), crop[2].cast("long").alias("crop_w"), clamped[0].alias("clamped_x"))
+    return rows.select("page", "box", geometry.rotation(F.col("dx"), F.col("dy")).alias("rotation"), placed[0].alias("css_x"), placed[1].alias("css_y"), seen[0].alias("seen_x"), seen[1].alias("seen_y"), seen[2].alias("seen_w"), quad[0].alias("quad_x"), quad[2].alias("quad_w"), quad[3].alias("quad_h"), crop[0].cast("long").alias("crop_x"), crop[2].cast("long").alias("crop_w"), clamped[0].alias("clamped_x"))
 
 
 @query(

@@ -32,12 +32,17 @@ def _tidy() -> None:
             return
 
 
-def once(df: DataFrame, label: str) -> DataFrame:
-    """df written as a table and read again: computed once however often it is used, and no executor's loss undoes it. Removed when the driver ends."""
-    spark = df.sparkSession
+def new(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else has, removed when the driver ends."""
     path = f"{folder(spark)}/quire-{uuid.uuid4().hex}-{label}"
     if not _made:
         atexit.register(_tidy)
     _made.append((spark, path))
+    return path
+
+
+def once(df: DataFrame, label: str) -> DataFrame:
+    """df written as a table and read again: computed once however often it is used, and no executor's loss undoes it."""
+    path = new(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,40 +100,3 @@ def without_sources(blocks: DataFrame, fixes: DataFrame) -> DataFrame:
     """blocks (page, id text) but for those whose words a fix names as its sources (sources: array of word:block:line:word; a block's id may hold colons)."""
     parts = fixes.select("page", F.explode("sources").alias("s")).select("page", F.regexp_extract("s", "^word:(.+):[^:]*:[^:]*$", 1).alias("id")).where("id <> ''").distinct()
     return blocks.join(parts, ["page", "id"], "left_anti")
-
-
-#: What a merge without these fields gives.
-MERGED = {"tag": "p", "size": 12.0, "text": ""}
-PATCHED = ["x", "y", "w", "h", "text", "tag", "size"]
-
-
-def apply_fixes(blocks: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Blocks of each page after its fixes, in their order, by y and x.
-
-    blocks: page, id and the fields that fixes patch. fixes: page, seq, type, block, second and the same
-    fields, null where unchanged. A merge starts from the original block (else the page's first one), a new
-    group from the fix alone. Blocks whose words went into a group are taken out before, by without_sources.
-    A page's blocks are on one place; its fixes too."""
-
-    def run(key, b: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        own = {r["id"]: r for r in b.sort_values("id").to_dict("records")}
-        original = dict(own)
-        for x in f.sort_values("seq").to_dict("records"):
-            patch = {c: x[c] for c in PATCHED if x[c] is not None and x[c] == x[c]}
-            if x["type"] == "delete":
-                own.pop(x["block"], None)
-            elif x["type"] == "create-group":
-                own[x["block"]] = {**dict.fromkeys(PATCHED), **patch, "id": x["block"], "page": key[0]}
-            elif x["type"] == "merge":
-                own.pop(x["block"], None)
-                own.pop(x["second"], None)
-                base = original.get(x["block"]) or next(iter(original.values()), dict.fromkeys(PATCHED))
-                own[x["block"]] = {**base, **MERGED, **patch, "id": x["block"], "page": key[0]}
-            elif x["block"] in own:
-                own[x["block"]].update(patch)
-        rows = [r for r in own.values() if r["tag"] == "img" or (r["text"] or "").strip() and (r["w"] or 0) >= 1 and (r["h"] or 0) >= 1]
-        rows.sort(key=lambda r: (r["y"] or 0.0, r["x"] or 0.0))
-        return pd.DataFrame(rows, columns=["page", "id", *PATCHED])
-
-    kind = blocks.schema["page"].dataType.simpleString()
-    return blocks.groupBy("page").cogroup(fixes.groupBy("page")).applyInPandas(run, f"page {kind}, id long, x double, y double, w double, h double, text string, tag string, size double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import namedtuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .scan import walk
 
@@ -14,6 +15,8 @@ START = (0, 3.0, 12.0, 0.0, 0.0, 0.0, 0.5, 18.0, 14.0, 12.0, 0.0, 0.0, 0.0)
 KEEP = 0.85
 Fix = namedtuple("Fix", "type dx dy tag size indented x margin prev_dy text_indent")
 SCHEMA = ", ".join(f"{f} {'long' if f == 'samples' else 'double'}" for f in FIELDS)
+RULES = "rules array<struct<src: string, dst: string>>"
+TEXTS = ("before", "after")
 
 
 def toward(now: float, new: float) -> float:
@@ -62,22 +65,31 @@ def encoding_rules(pairs: list[tuple[str, str]], rules: dict[str, str] | None =
     """Character rules that text corrections (before, after) teach; a rule keeps its place when it is taught again."""
     rules = dict(rules or {})
     for before, after in pairs:
-        for a, b in zip(before, after):
+        for a, b in zip(before or "", after or ""):
             if a != b:
                 rules[a] = b
     return rules
 
 
+def with_texts(fixes: DataFrame) -> DataFrame:
+    """fixes with the texts before and after a correction, null where there are none."""
+    return fixes.withColumns({c: F.lit(None).cast("string") for c in TEXTS if c not in fixes.columns})
+
+
 def fold(fixes: DataFrame, by: str = "fingerprint") -> DataFrame:
-    """One profile for each fingerprint, its fixes taken in the order of time and arrival.
+    """One profile and its character rules for each fingerprint, its fixes taken in the order of time and arrival.
 
-    fixes: by, ts, seq and the fields of a Fix, null where they do not apply."""
+    fixes: by, ts, seq and the fields of a Fix, perhaps before and after (texts), null where they do not apply."""
     kind = fixes.schema[by].dataType.simpleString()
 
     def each(key, rows):
-        state = START
+        state, rules = START, {}
         for row in rows:
-            state = learn(state, Fix(*(None if v != v else v for v in row[3:])))
-        yield (key, *state)
-
-    return walk(fixes.select(by, "ts", "seq", *Fix._fields), [by], ["ts", "seq"], each, f"`{by}` {kind}, {SCHEMA}")
+            *fields, before, after = row[3:]
+            fix = Fix(*(None if v != v else v for v in fields))
+            state = learn(state, fix)
+            if fix.type == "text-correct":
+                rules = encoding_rules([(before, after)], rules)
+        yield (key, *state, [{"src": a, "dst": b} for a, b in rules.items()])
+
+    return walk(with_texts(fixes).select(by, "ts", "seq", *Fix._fields, *TEXTS), [by], ["ts", "seq"], each, f"`{by}` {kind}, {SCHEMA}, {RULES}")

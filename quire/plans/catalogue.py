@@ -450,15 +450,3 @@ def q36(s, d):
     w = _words(s, d)
     spans = w.join(lines.left_margin(w), "page").select("page", (F.col("ln").cast("long") * 100000 + F.col("pos")).alias("seq"), "margin", "x", "y", "w", "h", "text", "size", F.when(F.col("bold"), "b").otherwise("r").alias("font"), F.lit(0.0).alias("rotation"))
     return blocks.merge_spans(spans, y_band=5.0, x_gap=60.0)
-
-
-@query("q37_fix_application")
-def q37(s, d):
-    none = lambda k: F.lit(None).cast(k)
-    held = a.lines(_words(s, d)).select("page", F.col("ln").cast("long").alias("id"), "x", "y", "w", "h", "text", F.lit("p").alias("tag"), "size")
-    e = F.col("seq")
-    f = _fixes(s, d).select(
-        F.col("reviewer").alias("page"), "seq", "type", (e % 6).alias("block"), (e % 6 + 1).alias("second"), F.when(F.col("type") == "move", (e % 50).cast("double")).alias("x"), none("double").alias("y"), none("double").alias("w"), none("double").alias("h"),
-        F.when(F.col("type") == "text-correct", "corrected").alias("text"), F.when(F.col("type") == "tag-change", "h1").alias("tag"), none("double").alias("size"),
-    )
-    return blocks.apply_fixes(held, f)

@@ -40,6 +40,26 @@ def fixes(events: DataFrame) -> DataFrame:
     return _reviewed(events).where("event_type <> 'view'").withColumn("type", kind[F.col("event_type")]).drop("event_type")
 
 
+NINE = ["move", "resize", "merge", "split", "tag-change", "delete", "text-correct", "style-change", "create-group"]
+
+
+def corrections(events: DataFrame) -> DataFrame:
+    """Fixes of all nine types, on the first 24 blocks of a page and on groups; what a fix leaves alone is null."""
+    e, k = F.col("event_id"), (F.col("event_id") / 9).cast("long")
+    some = lambda n, at, value: F.when(e % n == at, value)
+    kind = F.element_at(F.array(*[F.lit(t) for t in NINE]), (e % 9 + 1).cast("int"))
+    rows = events.select(
+        (F.col("user_id") % 25).alias("job"), (e % 211).alias("page"), "ts", e.alias("seq"), kind.alias("type"), F.when(e % 9 == 8, 1000 + k % 4).otherwise(k % 24).alias("block"), F.when((e % 9 == 2) & (k % 5 > 0), k % 24 + k % 3).alias("second"),
+        some(4, 1, (e % 50).cast("double")).alias("x"), some(5, 1, (e % 90).cast("double")).alias("y"), some(3, 2, (e % 40).cast("double")).alias("w"), some(6, 2, (e % 4).cast("double")).alias("h"),
+        F.when((e % 9 == 6) | (e % 9 == 8) | (e % 18 == 2), F.when(e % 13 == 0, " ").otherwise(F.concat(F.lit("fixed "), (e % 13).cast("string")))).alias("text"),
+        F.when((e % 9 == 4) | (e % 27 == 2), F.element_at(F.array(*[F.lit(t) for t in ("h1", "h2", "h3", "artifact", "p", "img")]), (k % 6 + 1).cast("int"))).alias("tag"),
+        some(8, 4, (e % 12 + 10).cast("double")).alias("size"), some(7, 3, F.lit("Font B")).alias("font"), some(11, 5, F.lit("bold")).alias("weight"), some(13, 2, F.lit("#123456")).alias("color"), some(16, 2, F.lit(0.5)).alias("confidence"), some(5, 2, e % 2 == 0).alias("indented"),
+        F.when((e % 9 == 7) & (e % 5 < 4), (e % 30).cast("double")).alias("text_indent"), some(14, 7, F.lit(2.0)).alias("padding_left"), some(15, 7, F.lit(1.2)).alias("line_height"), some(17, 7, F.lit("right")).alias("text_align"),
+        *[some(19, 4, (e % (20 + i)).cast("double")).alias(f"crop_{c}") for i, c in enumerate("xywh")],
+    )
+    return rows
+
+
 def visits(events: DataFrame) -> DataFrame:
     return _reviewed(events).where("event_type = 'view'").drop("event_type", "value")
 

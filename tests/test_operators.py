@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
 from quire.functions import numbers, text
-from quire.operators import blocks, claim, fonts, lines, ocr, profiles, reviews, styles
+from quire.operators import blocks, claim, fixes, fonts, lines, ocr, profiles, reviews, styles
 from quire.sources import files
 from quire.streaming import profiles as stream
 
@@ -153,7 +153,7 @@ def test_fold_equals_stream(spark, tmp_path):
     rows = [dict(fingerprint=f"f{i % 3}", ts=f"2024-01-01T00:00:{i:02d}Z", seq=i, type=kinds[i % 5], dx=float(i % 7), dy=float(i % 5 - 2), tag="h2", size=10.0 + i % 9, indented=bool(i % 2), x=20.0, margin=4.0, prev_dy=float(i % 6), text_indent=None) for i in range(60)]
     schema = "fingerprint string, ts string, seq long, type string, dx double, dy double, tag string, size double, indented boolean, x double, margin double, prev_dy double, text_indent double"
     batch = profiles.fold(spark.createDataFrame([tuple(r.values()) for r in rows], schema))
-    want = {r["fingerprint"]: tuple(r)[1:] for r in batch.collect()}
+    want = {r["fingerprint"]: tuple(r)[1:-1] for r in batch.collect()}
     for at in (0, 30):
         (tmp_path / f"{at}.json").write_text("\n".join(json.dumps(r) for r in rows[at : at + 30]))
         os.utime(tmp_path / f"{at}.json", (1e9 + at, 1e9 + at))  # files are taken by age
@@ -165,6 +165,28 @@ def test_fold_equals_stream(spark, tmp_path):
     assert got == want and set(want) == {"f0", "f1", "f2"}
 
 
+def test_stream_learns_late_fixes_in_order(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = ["move", "resize", "merge", "split", "tag-change", "delete", "text-correct", "style-change", "create-group"]
+    schema = "fingerprint string, ts timestamp, seq long, type string, dx double, dy double, tag string, size double, indented boolean, x double, margin double, prev_dy double, text_indent double, before string, after string"
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    rows = [(f"f{i % 2}", f"2024-01-01T00:{i // 2:02d}:00Z", i, kinds[i % 9], float(i % 7), float(i % 5 - 2), ["h2", "artifact", "p"][i % 3], 10.0 + i % 9, i % 4 == 1, 20.0, 4.0, float(i % 6), [None, 3.0][i % 2], f"a{i % 3}é", f"b{i % 4}é{i}") for i in range(72)]
+    write = lambda at, part: ((tmp_path / f"{at}.json").write_text("\n".join(json.dumps(dict(zip(names, r))) for r in part)), os.utime(tmp_path / f"{at}.json", (1e9 + at, 1e9 + at)))
+    write(0, rows[1::2][::-1])  # each file holds what the other lacks, out of order
+    write(1, rows[0::2])
+    write(2, [("end", "2024-01-02T00:00:00Z", 999, "delete", *[None] * 11)])
+    write(3, [("end", "2024-01-03T00:00:00Z", 1000, "delete", *[None] * 11)])
+    batch = profiles.fold(spark.read.schema(schema).json([str(tmp_path / f"{i}.json") for i in range(2)]))
+    want = {r["fingerprint"]: tuple(r)[1:] for r in batch.collect()}
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    run = stream.learned_in_order(source, "2 hours").writeStream.outputMode("update").format("memory").queryName("ordered").start()
+    run.processAllAvailable()
+    run.stop()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {r["fingerprint"]: tuple(r)[1:] for r in stream.latest(spark.table("ordered")).collect()}
+    assert got["f0"] == want["f0"] and got["f1"] == want["f1"] and want["f0"][-1] and want["f0"][0] == 36
+
+
 def test_span_merge(spark):
     rows = [(0, 0, 0.0, 0.0, 0.0, 20.0, 10.0, "Hello", 10.0, "f", 0.0), (0, 1, 0.0, 25.0, 0.0, 20.0, 10.0, "there", 10.0, "f", 0.0), (0, 2, 0.0, 80.0, 0.0, 20.0, 10.0, "far", 10.0, "f", 0.0), (0, 3, 0.0, 0.0, 30.0, 20.0, 10.0, "next", 10.0, "g", 0.0)]
     spans = spark.createDataFrame(rows, "page long, seq long, margin double, x double, y double, w double, h double, text string, size double, font string, rotation double")
@@ -173,13 +195,33 @@ def test_span_merge(spark):
 
 
 def test_fix_application(spark):
-    b = spark.createDataFrame([(0, i, 0.0, 0.0, 9.0, 9.0, f"t{i}", "p", 12.0) for i in range(4)], "page long, id long, x double, y double, w double, h double, text string, tag string, size double")
-    fields = "page long, seq long, type string, block long, second long, x double, y double, w double, h double, text string, tag string, size double"
-    none = (None,) * 4
-    f = spark.createDataFrame([(0, 1, "delete", 0, None, *none, None, None, None), (0, 2, "merge", 1, 2, *none, "t1 t2", None, None), (0, 3, "tag-change", 3, None, *none, None, "h1", None), (0, 4, "move", 99, None, 5.0, None, None, None, None, None, None), (0, 5, "merge", 3, 0, *none, None, None, 14.0), (1, 5, "create-group", 7, None, 1.0, 1.0, 5.0, 5.0, "new", None, None), (1, 6, "create-group", 8, None, *none, None, "img", None)], fields)
-    got = {(r["page"], r["id"]): (r["text"], r["tag"]) for r in blocks.apply_fixes(b, f).collect()}
+    names = ["page", "seq", "id", "suppressed", *fixes.FIELDS]
+    kinds = ", ".join(f"{f} {k}" for f, k in fixes.FIELDS.items())
+
+    def block(page, seq, id_, suppressed=False, **v):
+        given = dict(x=0.0, y=10.0 * seq, w=9.0, h=9.0, text=id_, tag="p", size=11.0, font="F", color="#1", indented=True) | v
+        return tuple({"page": page, "seq": seq, "id": id_, "suppressed": suppressed}.get(n, given.get(n)) for n in names)
+
+    def change(page, seq, kind, id_, second=None, **v):
+        return (page, seq, kind, id_, second, *(v.get(f) for f in fixes.FIELDS))
+
+    held = [block(0, i, f"b{i}") for i in range(5)] + [block(0, 5, "cut", suppressed=True, text="cut"), block(0, 6, "crop", tag="img", crop_x=0.0, crop_y=60.0, crop_w=9.0, crop_h=9.0), block(2, 0, "only")]
+    log = [
+        change(0, 1, "delete", "b0"), change(0, 2, "merge", "b1", "b2", text="b1 b2", size=20.0), change(0, 3, "tag-change", "b3", tag="h1"), change(0, 4, "move", "gone", x=5.0), change(0, 5, "merge", "new", "b4", text="first's place"),
+        change(0, 6, "resize", "crop", w=20.0), change(0, 7, "merge", "cut", "cut", text="again"), change(0, 8, "style-change", "b3", text_indent=4.0), change(0, 9, "merge", "b9", text=" "),
+        change(1, 5, "create-group", "g", x=1.0, y=1.0, w=5.0, h=5.0, text="new"), change(1, 6, "create-group", "i", tag="img"), change(1, 7, "split", "g", w=0.5), change(2, 1, "delete", "only"), change(2, 2, "text-correct", "only", text="late"),
+    ]
+    b = spark.createDataFrame(held, f"page long, seq long, id string, suppressed boolean, {kinds}")
+    f = spark.createDataFrame(log, f"page long, seq long, type string, block string, second string, {kinds}").repartition(3)
+    got = {(r["page"], r["id"]): r.asDict() for r in fixes.applied(b, f).collect()}
     # a merge without a text has none and goes; a group is made of its fix alone
-    assert got == {(0, 1): ("t1 t2", "p"), (1, 7): ("new", None), (1, 8): (None, "img")}
+    assert set(got) == {(0, "b1"), (0, "b3"), (0, "new"), (0, "crop"), (0, "cut"), (1, "i")}
+    one_ = got[0, "b1"]
+    assert (one_["text"], one_["tag"], one_["size"], one_["font"], one_["color"], one_["confidence"], one_["indented"], one_["y"], one_["line_height"]) == ("b1 b2", "p", 20.0, "serif", "#000000", 0.8, False, 10.0, 1.4)
+    assert (got[0, "new"]["y"], got[0, "new"]["w"]) == (0.0, 9.0)  # from the page's first block, though that was deleted
+    assert (got[0, "b3"]["tag"], got[0, "b3"]["text_indent"], got[0, "b3"]["font"]) == ("h1", 4.0, "F")
+    assert [got[0, "crop"][f"crop_{c}"] for c in "xywh"] == [0.0, 60.0, 20.0, 9.0]
+    assert (got[0, "cut"]["text"], got[0, "cut"]["y"]) == ("again", 50.0)
 
 
 def test_indent_guard_looks_at_the_whole_block(spark):

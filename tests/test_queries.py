@@ -2,7 +2,7 @@
 
 import pytest
 
-from quire.plans import catalogue, final
+from quire.plans import catalogue, fixes
 
 from .conftest import SF
 
@@ -12,10 +12,10 @@ def rows(columns, values, order):
     return sorted(repr(tuple(v[i] for i in at)) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(final.ORACLES))
+@pytest.mark.parametrize("name", sorted(fixes.ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    got = final.QUERIES[name](spark, SF)
-    want = duck.execute(final.ORACLES[name])
+    got = fixes.QUERIES[name](spark, SF)
+    want = duck.execute(fixes.ORACLES[name])
     columns = [d[0] for d in want.description]
     order = sorted(columns)
     assert sorted(got.columns) == order

@@ -3,10 +3,12 @@
 Each task writes its pages, sorted by URL key and time, as one archive of records compressed one by
 one: a sorted capture run. Reading an archive gives its entries in that order, which are written as an
 index run in the shared folder, RUN_ROWS entries a block (where the order breaks, a new run begins).
-The merge is external: a range of URL key, time and page streams the blocks of all runs that reach
-into it, a block of each run at a time, through a loser tree; over FAN runs are merged in passes. A
-bounded sample of blocks says where ranges begin, which matters for balance alone. The result is
-ordered over all partitions: capture histories.
+The merge is external: while there are more than FAN runs, each FAN of them are merged to one, by ranges of
+URL key, time and page, so that no task takes a long run alone; the last merge gives the result, ordered over
+all partitions: capture histories. A range streams the blocks that reach into it through a loser tree, a block
+of each run at a time. Ranges are so wide that a run has two blocks or more in each on average: a block is
+read about one and a half times a pass at most, at any number of runs. A bounded sample of blocks says where
+ranges begin, which matters for balance alone.
 
 A null html is empty, a null url an empty key. Of pages with equal payloads the one with the
 smallest page_id is the response; repeated rows with just that page_id are responses too, and rows
@@ -22,7 +24,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime, timedelta
-from itertools import groupby, islice
+from itertools import accumulate, groupby, islice
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -38,7 +40,7 @@ INDEX = "page_id long, payload_bytes long, payload_digest string, record_type st
 #: Characters of addresses that go into a header as they are; the percent sign is not one, so that quoting can be undone.
 URL_SAFE = ":/?#[]@!$&'()*+,;=-._~"
 #: Entries of a block of an index run, of a range (about), and runs that are merged at once.
-RUN_ROWS, RANGE_ROWS, FAN = 1024, 200_000, 256
+RUN_ROWS, RANGE_ROWS, FAN = 512, 200_000, 64
 #: Blocks that are looked at to choose where ranges begin.
 SAMPLE = 2000
 
@@ -240,87 +242,146 @@ class _Runs:
         self.last = None
 
 
-def _streamed(path: str, blocks: list[int], low: tuple | None, high: tuple | None) -> Iterator[dict]:
-    """The run's entries from low on and before high, a block at a time."""
-    with open_shared(path) as f:
-        held = pa.ipc.open_file(f)
-        for block in blocks:
-            for x in held.get_batch(block).to_pylist():
-                now = _key(x)
-                if (low is None or now >= low) and (high is None or now < high):
-                    yield x
-
-
-def _merged(runs: dict[str, list[int]], low: tuple | None, high: tuple | None, scratch_name: str, base: str, schema: pa.Schema, rows: int, fan: int) -> Iterator[dict]:
-    """The entries of all runs in order; fan of them at once, more in passes."""
-    passes = 0
-    while len(runs) > fan:
-        longer: dict[str, list[int]] = {}
-        paths = list(runs)
-        for at in range(0, len(paths), fan):
-            out = _Runs(base, f"{scratch_name}-{passes}-{at}", schema, rows)
-            for x in LoserTree([_streamed(p, runs[p], low, high) for p in paths[at : at + fan]], _key):
-                out.add(x)
-            out.close()
-            for path, block, *_ in out.made:
-                longer.setdefault(path, []).append(block)
-        runs, passes = longer, passes + 1
-    yield from LoserTree([_streamed(p, blocks, low, high) for p, blocks in runs.items()], _key)
+def _streamed(blocks: list[tuple[str, int]], low: tuple | None, high: tuple | None) -> Iterator[dict]:
+    """A run's entries from low on and before high, a block at a time; its blocks may lie in several files."""
+    for path, own in groupby(blocks, lambda b: b[0]):
+        with open_shared(path) as f:
+            held = pa.ipc.open_file(f)
+            for _, block in own:
+                for x in held.get_batch(block).to_pylist():
+                    now = _key(x)
+                    if (low is None or now >= low) and (high is None or now < high):
+                        yield x
 
 
-def merge_index(entries: DataFrame, run_rows: int = RUN_ROWS, fan: int = FAN) -> DataFrame:
-    """All entries ordered by URL key, time and page over the partitions, from their sorted runs (rows come by run and place)."""
-    spark = entries.sparkSession
-    base = scratch(spark, "runs")
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
-    schema = to_arrow_schema(entries.schema)
-    key = "{0}_url string, {0}_at string, {0}_has boolean, {0}_page long"
-    names = ["path", "block", "rows", *(f"{e}_{c}" for e in ("first", "last") for c in ("url", "at", "has", "page"))]
-    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.string(), pa.string(), pa.bool_(), pa.int64()] * 2]
+_KEY_NAMES = [f"{e}_{c}" for e in ("first", "last") for c in ("url", "at", "has", "page")]
+_KEY_KINDS = [pa.string(), pa.string(), pa.bool_(), pa.int64()] * 2
+_KEYS = ", ".join(f"{n} {k}" for n, k in zip(_KEY_NAMES, ["string", "string", "boolean", "long"] * 2))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        out = _Runs(base, f"run-{task.partitionId():06d}-{task.taskAttemptId()}", schema, run_rows)
-        before = None
-        for batch in batches:
-            for x in batch.to_pylist():
-                if before is not None and x["run"] != before:
-                    out.close()
-                before = x["run"]
-                out.add(x)
-        out.close()
-        if out.made:
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*out.made), kinds)], names=names)
-
-    blocks = materialise(entries.mapInArrow(write, f"path string, block int, rows long, {key.format('first')}, {key.format('last')}"), "blocks")
-    total = blocks.agg(F.sum("rows")).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
-    seen = sorted(tuple(r) for r in blocks.orderBy(F.xxhash64("path", "block")).limit(SAMPLE).select(*names[3:7]).collect())
-    edges = sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                first, last = (bisect_right(edges, tuple(x[f"{e}_{c}"] for c in ("url", "at", "has", "page"))) for e in ("first", "last"))
-                out += [(r, x["path"], x["block"]) for r in range(first, last + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.string(), pa.int32()))], names=["range", "path", "block"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("range", "path", "block"))))
-        for r, own in groupby(rows, lambda x: x[0]):
-            runs: dict[str, list[int]] = {}
-            for _, path, block in own:
-                runs.setdefault(path, []).append(block)
-            low, high = edges[r - 1] if r else None, edges[r] if r < len(edges) else None
-            made = _merged(runs, low, high, f"pass-{r}-{task.taskAttemptId()}", base, schema, run_rows, fan)
-            while part := list(islice(made, 10_000)):
-                yield pa.RecordBatch.from_pylist(part, schema)
-
-    dealt = blocks.mapInArrow(reach, "range int, path string, block int").repartitionByRange(n, "range").sortWithinPartitions("range", "path", "block")
-    return dealt.mapInArrow(merge, entries.schema)
+class _Index:
+    """Index runs in the shared folder, merged in passes. Blocks: run (numbered from 0), place in it, path, block, rows, first and last key."""
+
+    def __init__(self, entries: DataFrame, run_rows: int, fan: int, log: list | None) -> None:
+        self.spark, self.fan, self.run_rows, self.log = entries.sparkSession, fan, run_rows, log
+        self.base = scratch(self.spark, "runs")
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+        self.kind, self.schema = entries.schema, to_arrow_schema(entries.schema)
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def written(self, entries: DataFrame) -> DataFrame:
+        """Blocks of the entries' runs as they come: a run ends with its number, or where the order breaks."""
+        base, schema, run_rows = self.base, self.schema, self.run_rows
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task = TaskContext.get()
+            out = _Runs(base, f"run-{task.partitionId():06d}-{task.taskAttemptId()}", schema, run_rows)
+            before = None
+            for batch in batches:
+                for x in batch.to_pylist():
+                    if before is not None and x["run"] != before:
+                        out.close()
+                    before = x["run"]
+                    out.add(x)
+            out.close()
+            if out.made:
+                names = {path: i for i, path in enumerate(dict.fromkeys(m[0] for m in out.made))}
+                columns = [[task.partitionId()] * len(out.made), [names[m[0]] for m in out.made], [m[1] for m in out.made], *map(list, zip(*out.made))]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), *_KEY_KINDS]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], names=["part", "run", "place", "path", "block", "rows", *_KEY_NAMES])
+
+        made = materialise(entries.mapInArrow(write, f"part int, run long, place long, path string, block int, rows long, {_KEYS}"), "blocks")
+        counts = made.groupBy("part").agg((F.max("run") + 1).alias("n")).orderBy("part").collect()  # a row a task
+        ends = list(accumulate((r["n"] for r in counts), initial=0))
+        starts = self.spark.createDataFrame([(r["part"], e) for r, e in zip(counts, ends)], "part int, start long")
+        return made.join(F.broadcast(starts), "part").withColumn("run", F.col("run") + F.col("start")).drop("part", "start")
+
+    def ranges(self, blocks: DataFrame, groups: int, facts: dict) -> list[tuple]:
+        """Keys at which ranges begin: as many ranges as balance asks for, but a run has two blocks in each on average, so that few blocks are read twice."""
+        wanted = max(-(-self.parts // groups), -(-facts["rows"] // (groups * RANGE_ROWS)))
+        n = max(1, min(wanted, facts["blocks"] // (2 * max(1, facts["runs"]))))
+        seen = sorted(tuple(r) for r in blocks.orderBy(F.xxhash64("path", "block")).limit(SAMPLE + 4 * n).select(*_KEY_NAMES[:4]).collect())
+        return sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
+
+    def dealt(self, blocks: DataFrame, edges: list[tuple], fan: int) -> DataFrame:
+        """range, group, run, place, path and block: a row for each block and range that it reaches into."""
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for x in batch.to_pylist():
+                    first, last = (bisect_right(edges, tuple(x[f"{e}_{c}"] for c in ("url", "at", "has", "page"))) for e in ("first", "last"))
+                    out += [(r, x["run"] // fan, x["run"], x["place"], x["path"], x["block"]) for r in range(first, last + 1)]
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["range", "group", "run", "place", "path", "block"])
+
+        return blocks.mapInArrow(reach, "range int, group long, run long, place long, path string, block int")
+
+    def facts(self, blocks: DataFrame) -> dict:
+        return blocks.agg((F.coalesce(F.max("run"), F.lit(-1)) + 1).alias("runs"), F.count("*").alias("blocks"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first().asDict()
+
+    def pass_(self, blocks: DataFrame, facts: dict, number: int) -> DataFrame:
+        """Blocks after runs were merged to longer ones, fan to one; a run's ranges are merged by tasks of their own."""
+        groups = -(-facts["runs"] // self.fan)
+        edges = self.ranges(blocks, groups, facts)
+        base, schema, run_rows = self.base, self.schema, self.run_rows
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            attempt = TaskContext.get().taskAttemptId()
+            for (group, r), merged in _merged(batches, edges):
+                out = _Runs(base, f"pass-{number}-{group}-{r}-{attempt}", schema, run_rows)
+                for x in merged:
+                    out.add(x)
+                out.close()
+                columns = [[group] * len(out.made), [(r << 32) + i for i in range(len(out.made))], *map(list, zip(*out.made))]
+                if out.made:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), *_KEY_KINDS))], names=["run", "place", "path", "block", "rows", *_KEY_NAMES])
+
+        rows = self._counted(self.dealt(blocks, edges, self.fan), facts)
+        n = max(self.parts, min(groups * (len(edges) + 1), 100_000))
+        rows = rows.repartition(n, "group", "range").sortWithinPartitions("group", "range", "run", "place")
+        return materialise(rows.mapInArrow(merge, f"run long, place long, path string, block int, rows long, {_KEYS}"), "blocks")
+
+    def _counted(self, rows: DataFrame, facts: dict) -> DataFrame:
+        if self.log is not None:
+            self.log.append(facts | {"reads": rows.count()})
+        return rows
+
+    def merged(self, blocks: DataFrame) -> DataFrame:
+        """All entries in order over the partitions."""
+        facts, number = self.facts(blocks), 0
+        while facts["runs"] > self.fan:
+            blocks, number = self.pass_(blocks, facts, number), number + 1
+            facts = self.facts(blocks)
+        edges, schema = self.ranges(blocks, 1, facts), self.schema
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, entries in _merged(batches, edges):
+                while part := list(islice(entries, 10_000)):
+                    yield pa.RecordBatch.from_pylist(part, schema)
+
+        rows = self._counted(self.dealt(blocks, edges, self.fan), facts)
+        return rows.repartitionByRange(len(edges) + 1, "range").sortWithinPartitions("range", "run", "place").mapInArrow(merge, self.kind)
+
+
+def _merged(batches: Iterator[pa.RecordBatch], edges: list[tuple]) -> Iterator[tuple[tuple[int, int], Iterator[dict]]]:
+    """Group and range with their entries in order; a run's blocks come by place."""
+    rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("group", "range", "run", "path", "block"))))
+    for (group, r), own in groupby(rows, lambda x: x[:2]):
+        runs: dict[int, list[tuple[str, int]]] = {}
+        for _, _, run, path, block in own:
+            runs.setdefault(run, []).append((path, block))
+        low, high = edges[r - 1] if r else None, edges[r] if r < len(edges) else None
+        yield (group, r), iter(LoserTree([_streamed(b, low, high) for b in runs.values()], _key))
+
+
+def merge_index(entries: DataFrame, run_rows: int = RUN_ROWS, fan: int = FAN, log: list | None = None) -> DataFrame:
+    """All entries ordered by URL key, time and page over the partitions, from their sorted runs (rows come by run and place).
+
+    log: gets the runs, blocks and rows of each pass, and the block reads that it makes."""
+    index = _Index(entries, run_rows, fan, log)
+    return index.merged(index.written(entries))
 
 
 def captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

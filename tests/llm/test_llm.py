@@ -519,6 +519,32 @@ def test_warc_merges_many_runs_in_passes(spark):
     assert all((r["page_id"] if r["refers_to"] is None else r["refers_to"]) == first["x" * r["payload_bytes"]] for r in got)
 
 
+def test_warc_reads_blocks_about_once(spark):
+    rng = np.random.default_rng(4)
+    kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, captured_at string, run int, place long"
+    rows = []
+    for run in range(1000):
+        for place, key in enumerate(sorted(rng.integers(0, 300, 40).tolist())):
+            rows.append((run * 40 + place, 1, "d", "response", None, "u", f"k{key:04d}", "2020", run, place))
+    entries = spark.createDataFrame(rows, kind).repartitionByRange(5, "run").sortWithinPartitions("run", "place")
+    log = []
+    got = warc.merge_index(entries, run_rows=4, fan=16, log=log).collect()
+    keys = [(r["url_key"], r["captured_at"], r["page_id"]) for r in got]
+    assert keys == sorted(keys) and sorted(k[2] for k in keys) == list(range(40_000))
+    assert [p["runs"] for p in log] == [1000, 63, 4]
+    assert all(p["reads"] < 2 * p["blocks"] for p in log) and all(p["rows"] == 40_000 for p in log)
+
+
+def test_warc_odd(spark):
+    long = "x" * 3_000_000
+    rows = [(i, t, h, None, "clash", 7) for i, t, h in [(1, None, None), (1, None, None), (None, "http://a/", None), (2, "http://a/", ""), (3, "HTTP://A/é \n", long), (4, "http://a/", long), (4, "http://a/", long), (None, None, None)]]
+    got = warc.captures(spark.createDataFrame(rows, "page_id long, url string, html string, url_key string, record_type string, run int").repartition(3)).collect()
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    low = {"": 1, long: 3}
+    want = collections.Counter((i, len((h or "").encode()), digest(h), "response" if i == low[h or ""] else "revisit", None if i == low[h or ""] else low[h or ""]) for i, _, h, *_ in rows)
+    assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     for k in (1, 2, 3, 7):

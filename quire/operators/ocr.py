@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as g
 from quire.functions.numbers import clamp01, fixed
 from quire.functions.text import loose, text_score
+from quire.sources.shared import once
 
 ISSUES = 25
+#: Shares of place and text in a score, and what bounds are loosened by.
+PLACE, TEXT, NEAR = 0.55, 0.45, 1e-9
 
 
 def parse_tsv(rows: DataFrame, column: str = "value") -> DataFrame:
@@ -34,17 +37,41 @@ def polygon_box(points: F.Column) -> F.Column:
     return F.struct(fixed(F.array_min(xs), 2).alias("x"), fixed(F.array_min(ys), 2).alias("y"), fixed(F.array_max(xs) - F.array_min(xs), 2).alias("w"), fixed(F.array_max(ys) - F.array_min(ys), 2).alias("h"))
 
 
-def match(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+def match(blocks: DataFrame, lines: DataFrame, reach: float = 24.0) -> DataFrame:
     """The line that fits each block best (page, ln, seq, text_score, position, score); a score of 0 matches nothing.
 
-    Blocks and lines meet by page alone: a page's blocks times its lines, reduced before anything is dealt out again."""
+    Candidates come before scores. A block first meets the lines around it: those whose middle lies in its own strip of the page, reach high, or in
+    one beside it. What any other line can score follows from how far off it is and from the page's largest line; a block whose best score is higher
+    is done. Only the others meet all lines of their page, and texts are compared only where place and the best text there could be reach the score
+    that the block has."""
     b = blocks.select("page", "ln", *[F.col(c).alias(f"b{c}") for c in ("x", "y", "w", "h")], loose(F.col("text")).alias("bt"), F.col("size").alias("bsize")).withColumn("bset", F.array_distinct(F.split("bt", " ")))
     line = lines.select("page", "seq", "x", "y", "w", "h", loose(F.col("text")).alias("lt")).withColumn("lset", F.array_distinct(F.split("lt", " ")))
-    pair = b.join(line, "page").withColumn("position", g.position_score(g.box("b"), g.box())).withColumn("text_score", text_score(F.col("bt"), F.col("lt"), (F.col("bset"), F.col("lset"))))
-    pair = pair.withColumn("score", 0.55 * F.col("position") + 0.45 * F.col("text_score")).where("score > 0")
-    best = F.max_by(F.struct("seq", "text_score", "position", "score"), F.struct("score", (-F.col("seq")).alias("early"))).alias("m")
-    found = pair.groupBy("page", "ln").agg(best)
-    return b.select("page", "ln", "bsize").join(found.select("page", "ln", "m.*"), ["page", "ln"], "left")
+    line = once(line.withColumn("strip", F.floor((F.col("y") + F.col("h") / 2) / reach)), "lines")
+    place = g.position_score(g.box("b"), g.box())
+    own = ["bx", "by", "bw", "bh", "bt", "bsize", "bset"]
+
+    def best(pairs: DataFrame, *kept) -> DataFrame:
+        scored = pairs.withColumn("text_score", text_score(F.col("bt"), F.col("lt"), (F.col("bset"), F.col("lset")))).withColumn("score", PLACE * F.col("position") + TEXT * F.col("text_score"))
+        fit = F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("seq")).alias("early"), "seq", "text_score", "position")))
+        return scored.groupBy("page", "ln").agg(*kept, fit.alias("m"))
+
+    strip = F.floor((F.col("by") + F.col("bh") / 2) / reach)
+    around = b.withColumn("strip", F.explode(F.array(strip - 1, strip, strip + 1)))
+    first = best(around.join(line, ["page", "strip"], "left").withColumn("position", place), *[F.first(c).alias(c) for c in own])
+    largest = line.groupBy("page").agg(F.max("w").alias("_w"), F.max("h").alias("_h"))
+    tall = F.greatest("_w", "_h", "bw", "bh", F.lit(1.0))
+    most = PLACE * 0.7 * clamp01(1 - reach / (2.5 * tall)) + TEXT
+    apart = (F.col("bh") + F.col("_h")) / 2 < reach  # no other line can lie over the block
+    first = first.join(largest, "page", "left")
+    first = once(first.withColumn("done", F.col("_w").isNull() | F.coalesce(apart & (most < F.col("m.score") - NEAR), F.lit(False))).drop("_w", "_h"), "matches")
+    left = first.where("not done").withColumn("least", F.coalesce("m.score", F.lit(0.0))).drop("m")
+    # another text scores 0.82 at most, or the share that the sizes of its words allow
+    sizes = F.least(F.size("bset"), F.size("lset")) / F.greatest(F.size("bset"), F.size("lset"))
+    text = F.when(F.col("bt") == F.col("lt"), 1.0).otherwise(F.greatest(F.lit(0.82), sizes))
+    rest = left.join(line, "page").withColumn("position", place).where(PLACE * F.col("position") + TEXT * text >= F.col("least") - NEAR)
+    found = best(rest).withColumnRenamed("m", "_all")
+    joined = first.join(found, ["page", "ln"], "left").withColumn("m", F.when(F.col("done"), F.col("m")).otherwise(F.col("_all")))
+    return joined.select("page", "ln", "bsize", *[F.col(f"m.{c}").alias(c) for c in ("seq", "text_score", "position", "score")])
 
 
 def unmatched(lines: DataFrame, matched: DataFrame) -> DataFrame:

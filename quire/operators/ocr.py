@@ -31,6 +31,24 @@ def build_lines(words: DataFrame) -> DataFrame:
     return words.groupBy("page", "block", "par", "line").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"), fixed(F.avg("confidence"), 4).alias("confidence"), text.alias("text"))
 
 
+def page_confidence(lines: DataFrame) -> DataFrame:
+    """Mean confidence of a page's lines, 4 decimals."""
+    return lines.groupBy("page").agg(fixed(F.avg("confidence"), 4).alias("confidence"))
+
+
+def in_order(lines: DataFrame, band: float = 2.0) -> DataFrame:
+    """lines with seq, their place on the page: bands of y (anchored on lines sorted by y, high as band), then x."""
+    from .scan import scan
+
+    def step(state, y):
+        if state is None or y - state[0] > band:
+            state = (y, 0 if state is None else state[1] + 1)
+        return state, state[1]
+
+    banded = scan(lines, ["page"], ["y", "x"], lambda: None, step, ["y"], "_band", "int")
+    return banded.withColumn("seq", F.row_number().over(Window.partitionBy("page").orderBy("_band", "x", "y")) - 1).drop("_band")
+
+
 def polygon_box(points: F.Column) -> F.Column:
     """Bounds of array<array<double>> points, 2 decimals."""
     xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])

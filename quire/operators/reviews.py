@@ -35,13 +35,15 @@ def accurate_pages(fixes: DataFrame, visits: DataFrame) -> DataFrame:
 
 
 def summary(fixes: DataFrame, visits: DataFrame) -> DataFrame:
-    """Counts, pages, reviewers and last time of each job, in one aggregation by page and one by job."""
+    """Counts, pages, reviewers and last time of each job; reviewers are made distinct before they are counted, so no job's are gathered."""
     both = fixes.select("job", "page", "reviewer", "ts", F.lit(1).alias("edit")).unionByName(visits.select("job", "page", "reviewer", "ts", F.lit(0).alias("edit")))
-    pages = both.groupBy("job", "page").agg(F.sum("edit").alias("edits"), F.max(1 - F.col("edit")).alias("seen"), F.collect_set("reviewer").alias("who"), F.max(F.when(F.col("edit") == 1, F.col("ts"))).alias("last"))
-    return pages.groupBy("job").agg(
+    pages = both.groupBy("job", "page").agg(F.sum("edit").alias("edits"), F.max(1 - F.col("edit")).alias("seen"), F.max(F.when(F.col("edit") == 1, F.col("ts"))).alias("last"))
+    people = both.where("reviewer IS NOT NULL").groupBy("job", "reviewer").agg(F.lit(1)).groupBy("job").agg(F.count("*").alias("_reviewers"))
+    jobs = pages.groupBy("job").agg(
         F.sum("edits").alias("edits"), F.sum("seen").cast("long").alias("reviewed"), F.count_if(F.col("edits") > 0).alias("edited"), F.count_if((F.col("seen") == 1) & (F.col("edits") == 0)).alias("accurate"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("who")))).cast("long").alias("reviewers"), F.max("last").alias("last_edit"),
+        F.max("last").alias("last_edit"),
     )
+    return jobs.join(people, "job", "left").select("job", "edits", "reviewed", "edited", "accurate", F.coalesce("_reviewers", F.lit(0)).cast("long").alias("reviewers"), "last_edit")
 
 
 def summary_maps(fixes: DataFrame) -> DataFrame:
@@ -51,8 +53,12 @@ def summary_maps(fixes: DataFrame) -> DataFrame:
     return pages.join(types, "job")
 
 
-def job_list(jobs: DataFrame, fixes: DataFrame, visits: DataFrame) -> DataFrame:
-    """Jobs (id, status, updated, and job, by which reviews name them) with their summary and last visited page."""
+def job_list(jobs: DataFrame, fixes: DataFrame, visits: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
+    """Jobs (id, status, updated, and job, by which reviews name them) with their summary, last visited page and, given drafts (job, page), the pages of those."""
+    if drafts is not None:
+        held = drafts.select("job", "page").distinct().groupBy("job").agg(F.array_sort(F.collect_list("page")).alias("draft_pages"))
+        none = F.array().cast(held.schema["draft_pages"].dataType)
+        return job_list(jobs, fixes, visits).join(jobs.select("id", "job"), "id").join(held, "job", "left").drop("job").withColumn("draft_pages", F.coalesce("draft_pages", none))
     return jobs.join(summary(fixes, visits), "job", "left").join(last_visited(visits), "job", "left").select("id", "status", "updated", F.coalesce("edits", F.lit(0)).alias("edits"), F.coalesce("reviewed", F.lit(0)).alias("reviewed"), "last_page")
 
 

@@ -47,8 +47,10 @@ def with_defaults(keys: DataFrame, profiles: DataFrame, on: str, defaults: dict[
     return found.select(*keys.columns, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()])
 
 
-def patched(current: DataFrame, patch: DataFrame, on: list[str]) -> DataFrame:
-    """current with the non-null fields of patch."""
+def patched(current: DataFrame, patch: DataFrame, on: list[str], now: Column | None = None, updated: str = "updatedAt") -> DataFrame:
+    """current with the non-null fields of patch; given now, rows that a patch names get it as their time of change, whatever the patch says."""
+    if now is not None:
+        patch = patch.drop(updated).withColumn(updated, now)
     fields = [c for c in current.columns if c not in on]
     new = patch.select(*on, *[F.col(c).alias(f"_new_{c}") for c in fields if c in patch.columns])
     held = current.join(new, on, "left")

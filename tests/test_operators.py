@@ -279,3 +279,51 @@ def test_files(spark, tmp_path):
     log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "k string, n int, v string")
     assert files.latest(log, ["k"], "n").first()["v"] == "y"
     assert math.isclose(one(spark, g.scale_for(F.lit(300.0))), 150 / 72)
+
+
+def test_reviewers_drafts_and_patches(spark):
+    log = "job long, page long, reviewer string, ts string, seq long"
+    f = spark.createDataFrame([(1, 0, "a", "1", 1), (1, 1, "a", "2", 2), (1, 1, None, "3", 3)], log)
+    v = spark.createDataFrame([(1, 0, "b", "4", 4), (2, 0, None, "5", 5)], log)
+    got = {r["job"]: (r["edits"], r["reviewed"], r["edited"], r["accurate"], r["reviewers"], r["last_edit"]) for r in reviews.summary(f, v).collect()}
+    assert got == {1: (3, 1, 2, 0, 2, "3"), 2: (0, 1, 0, 1, 0, None)}
+    jobs = spark.createDataFrame([(10, "done", "x", 1), (20, "done", "x", 3)], "id long, status string, updated string, job long")
+    listed = reviews.job_list(jobs, f, v, spark.createDataFrame([(1, 5), (1, 2), (1, 5)], "job long, page long"))
+    assert {r["id"]: r["draft_pages"] for r in listed.collect()} == {10: [2, 5], 20: []}
+    now = spark.createDataFrame([(1, "a", "old"), (2, "b", "old")], "id long, name string, updatedAt string")
+    got = files.patched(now, spark.createDataFrame([(1, None, "mine")], "id long, name string, updatedAt string"), ["id"], F.lit("now")).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "a", "now"), (2, "b", "old")]
+    rows = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, None, "b"), (4, "k", None), (5, "k", None)], "seq long, key string, id string")
+    assert sorted(r["seq"] for r in styles.upsert(rows).collect()) == [2, 3, 5]
+
+
+def test_regions_move_by_one(spark):
+    boxes = spark.createDataFrame([(p, f"b{i}", float(i), i) for p in range(3) for i in range(3)], "page long, box string, reading_order double, created_at int")
+    moves = spark.createDataFrame([(0, "b0", 1), (1, "b0", -1)], "page long, box string, step int")
+    got = {p: [r["box"] for r in sorted(rows, key=lambda r: r["reading_order"])] for p in range(3) for rows in [[r for r in claim.moved(boxes, moves, ["page"]).collect() if r["page"] == p]]}
+    assert got == {0: ["b1", "b0", "b2"], 1: ["b0", "b1", "b2"], 2: ["b0", "b1", "b2"]}
+
+
+def test_read_lines_in_order(spark):
+    rows = spark.createDataFrame([(0, 50.0, 10.0, 90.0), (0, 10.0, 11.5, 80.0), (0, 0.0, 13.0, 70.0)], "page long, x double, y double, confidence double")
+    assert [r["x"] for r in ocr.in_order(rows).orderBy("seq").collect()] == [10.0, 50.0, 0.0]
+    assert ocr.page_confidence(rows).first()["confidence"] == 80.0
+
+
+def test_matching_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = ["a b c", "a b", "c", "", "d e f g", "x", "a b c d", "zz a b"]
+    block = [(p, i, float(rng.randrange(0, 200)), float(rng.randrange(0, 400)), float(rng.choice([5, 40, 300])), float(rng.choice([8, 10, 60])), rng.choice(texts), 12.0) for p in range(6) for i in range(25)]
+    read = [(p, i, float(rng.randrange(0, 200)), float(rng.randrange(0, 400)), float(rng.choice([5, 40, 300])), float(rng.choice([8, 10, 60])), rng.choice(texts)) for p in range(5) for i in range(20)]
+    b = spark.createDataFrame(block, "page long, ln long, x double, y double, w double, h double, text string, size double")
+    o = spark.createDataFrame(read, "page long, seq long, x double, y double, w double, h double, text string")
+    pairs = b.selectExpr("page", "ln", "x bx", "y by", "w bw", "h bh", "text bt").join(o, "page").withColumn("score", 0.55 * g.position_score(g.box("b"), g.box()) + 0.45 * text.text_score(F.col("bt"), F.col("text"))).collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (-r["score"], r["seq"])):
+        if r["score"] > 0:
+            want.setdefault((r["page"], r["ln"]), (r["seq"], round(r["score"], 9)))
+    for reach in (24.0, 5.0, 1000.0):
+        got = {(r["page"], r["ln"]): (r["seq"], r["score"] and round(r["score"], 9)) for r in ocr.match(b, o, reach).collect()}
+        assert len(got) == len(block) and {k: v for k, v in got.items() if v[0] is not None} == want

@@ -149,7 +149,8 @@ fixed_by AS (
     CASE WHEN p_partkey % 3 = 0 THEN 'page' || (p_partkey % 211 + 1) || '__word' || p_size END AS class, {pick(FAMILIES, 'p_partkey % 3')} AS font, 10.0::DOUBLE + 3 * (p_size % 4) + 0.004 * (p_size % 4) AS size, CASE WHEN p_size % 5 = 0 THEN 'Italic' ELSE 'normal' END AS style,
     (p_size % 5 - 2)::DOUBLE AS top, (p_size % 3 - 1)::DOUBLE AS "left", CASE WHEN p_size % 6 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS spacing FROM part),
 hits AS (
-  SELECT w.page, w.word, c.* EXCLUDE (page, word) FROM turned w JOIN fixed_by c ON c.scope = 'span' AND (c.class = 'page' || (w.page + 1) || '__word' || w.word OR c.page = w.page AND c.word = w.word)
+  SELECT w.page, w.word, c.* EXCLUDE (page, word) FROM turned w JOIN fixed_by c ON c.scope = 'span' AND c.class = 'page' || (w.page + 1) || '__word' || w.word
+  UNION ALL SELECT w.page, w.word, c.* EXCLUDE (page, word) FROM turned w JOIN fixed_by c ON c.scope = 'span' AND c.page = w.page AND c.word = w.word AND c.class IS DISTINCT FROM 'page' || (w.page + 1) || '__word' || w.word
   UNION ALL SELECT w.page, w.word, c.* EXCLUDE (page, word) FROM turned w JOIN fixed_by c ON c.scope <> 'span' AND lower(c.font) = lower(replace(w.font, '''', '\\''')) AND lower(c.style) = w.style AND abs(w.size - c.size) < 0.01 AND (c.scope = 'book-font-size' OR c.page = w.page)),
 overrides AS (
   SELECT page, word, sum("left") AS dx, sum(top) AS dy, arg_max(spacing, seq) FILTER (WHERE abs(spacing) > 0.001) AS spacing FROM hits GROUP BY page, word

@@ -85,3 +85,13 @@ def test_odd_pages_are_brute_force(spark):
     assert set(got) == set(want)
     for key in want:
         assert got[key][1] == pytest.approx(want[key][1], abs=1e-4) and (abs(want[key][1] - 0.5) < 1e-3 or got[key][::2] == want[key][::2])
+
+
+def test_pipeline_stages_take_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, _own int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
+        assert name == "sequences" or out.columns == docs.columns

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, line_dedup, near_copies, packing, suffix_dedup
+from quire.llm import langid, line_dedup, packing, simhash, suffix_dedup
 from quire.llm.common import materialise
 
 
@@ -48,10 +48,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of copies and near copies (five-word shingles, similarity 0.8).
+    """Keeps one document of each component of SimHash fingerprints (three-word shingles) that link at 2 or fewer differing bits.
 
     The smallest id stays, rows without one after all others; of repeated rows one stays. Texts without words are copies of each other."""
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_arrow, join_sized, materialise, release, settle, text_array, text_batches
 from .components import components
+from .copies import keyed, one_of_each
 from .simhash import shingle_hashes
 
 BLOCK = 512  # nodes of a meeting that are compared with as many others at once
@@ -148,11 +149,6 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def keyed(df: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.withColumn("k1", F.xxhash64(text)).withColumn("k2", F.xxhash64(F.lit("copy"), text))
-
-
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """k1, k2 (the text's hashes), first (smallest id with that text) and root (the group's), of each distinct text; a written table."""
     spark = df.sparkSession
@@ -257,16 +253,4 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df that stay: one of each group."""
-    columns = df.columns
-    id_col, text_col = (f"c{columns.index(c)}" for c in (id_col, text_col))
-    df = df.toDF(*[f"c{i}" for i in range(len(columns))])
-    found = groups(df, id_col, text_col, size, similarity)
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("k1"), F.col("k2"))).alias("m"))
-    keep = best.select("m.k1", "m.k2", F.col("m.first").alias("_first"))
-    copies = keyed(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").groupBy("k1", "k2", F.col("_id").alias("_first")).agg(F.count("*").alias("_same"))
-    same = (keep["k1"] == copies["k1"]) & (keep["k2"] == copies["k2"]) & keep["_first"].eqNullSafe(copies["_first"])
-    keep = materialise(keep.join(copies, same).select(keep["k1"], keep["k2"], keep["_first"], "_same"), "keep")
-    rows = join_sized(keyed(df, text_col), keep, ["k1", "k2"], "inner").where(F.col(id_col).eqNullSafe(F.col("_first")))
-    if keep.where("_same > 1").limit(1).count():
-        rows = rows.where("_same = 1").unionByName(rows.where("_same > 1").dropDuplicates(["k1", "k2"]))
-    return rows.select(*df.columns).toDF(*columns)
+    return one_of_each(df, id_col, text_col, lambda rows, i, t: groups(rows, i, t, size, similarity))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_arrow, materialise, text_array, text_batches
 from .components import components
+from .copies import keyed, one_of_each
 
 BUCKET = 256
 #: Fixed by the codes: generator polynomials of the Golay code of length 23 and the Hamming code of length 15.
@@ -227,3 +228,24 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id_col, fingerprint (16 hexadecimal digits) and component_id of each row."""
     prints = materialise(fingerprints(df, id_col, text_col, size), "prints")
     return near_groups(prints, id_col, threshold).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def text_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, threshold: int = 2) -> DataFrame:
+    """k1, k2 (the text's hashes), first (smallest id with that text) and root (the component's) of each distinct text."""
+    bounded_arrow(df.sparkSession)
+    texts = keyed(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text").select("k1", "k2", "id", "text")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text"):
+            made = np.array([fingerprint(shingle_hashes(t, size)) for t in text_array(batch.column("text")).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("id"), pa.array(made.view(np.int64))], names=["k1", "k2", "id", "fp"])
+
+    signed = texts.mapInArrow(sign, f"k1 long, k2 long, id {df.schema[id_col].dataType.simpleString()}, fp long")
+    distinct = materialise(signed.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.min("fp").alias("fp")), "texts")
+    roots = components(links(materialise(distinct.select("fp").distinct(), "nodes"), threshold)).withColumnRenamed("node", "fp")
+    return materialise(distinct.join(roots, "fp", "left").select("k1", "k2", "first", F.coalesce("root", "fp").alias("root")), "groups")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, threshold: int = 2) -> DataFrame:
+    """The rows of df that stay: one of each component. Columns of any name are kept."""
+    return one_of_each(df, id_col, text_col, lambda rows, i, t: text_groups(rows, i, t, size, threshold))

@@ -634,3 +634,13 @@ def test_pipeline(spark, odd):
     assert docs.count() > 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, SF).count() > 0
+
+
+def test_near_duplicates_are_the_components_of_operator_three(spark, docs, odd):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, SF).select("doc_id").collect())
+    assert kept == sorted({r["component_id"] for r in simhash.simhash_dedup(table).collect()}) and len(kept) < len(docs)
+    rows = corpus_pipeline.near_duplicates(spark, odd, SF).collect()
+    ids = [r["doc_id"] for r in rows]
+    named = {r["component_id"] for r in simhash.simhash_dedup(odd).collect()}
+    assert len(ids) == len(set(ids)) and set(ids) == named

@@ -62,32 +62,39 @@ def match(blocks: DataFrame, lines: DataFrame, reach: float = 24.0) -> DataFrame
     one beside it. What any other line can score follows from how far off it is and from the page's largest line; a block whose best score is higher
     is done. Only the others meet all lines of their page, and texts are compared only where place and the best text there could be reach the score
     that the block has."""
-    b = blocks.select("page", "ln", *[F.col(c).alias(f"b{c}") for c in ("x", "y", "w", "h")], loose(F.col("text")).alias("bt"), F.col("size").alias("bsize")).withColumn("bset", F.array_distinct(F.split("bt", " ")))
-    line = lines.select("page", "seq", "x", "y", "w", "h", loose(F.col("text")).alias("lt")).withColumn("lset", F.array_distinct(F.split("lt", " ")))
-    line = once(line.withColumn("strip", F.floor((F.col("y") + F.col("h") / 2) / reach)), "lines")
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    sets = (F.col("bset"), F.col("lset"))
+    b = blocks.select("page", "ln", *[F.col(c).alias(f"b{c}") for c in ("x", "y", "w", "h")], loose(F.col("text")).alias("bt"), F.col("size").alias("bsize"))
+    line = lines.select("page", "seq", "x", "y", "w", "h", loose(F.col("text")).alias("lt"))
     place = g.position_score(g.box("b"), g.box())
-    own = ["bx", "by", "bw", "bh", "bt", "bsize", "bset"]
 
-    def best(pairs: DataFrame, *kept) -> DataFrame:
-        scored = pairs.withColumn("text_score", text_score(F.col("bt"), F.col("lt"), (F.col("bset"), F.col("lset")))).withColumn("score", PLACE * F.col("position") + TEXT * F.col("text_score"))
+    def best(pairs: DataFrame, by: list[str], *kept) -> DataFrame:
+        scored = pairs.withColumn("text_score", text_score(F.col("bt"), F.col("lt"), sets)).withColumn("score", PLACE * F.col("position") + TEXT * F.col("text_score"))
         fit = F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("seq")).alias("early"), "seq", "text_score", "position")))
-        return scored.groupBy("page", "ln").agg(*kept, fit.alias("m"))
+        return scored.groupBy("page", "ln", *by).agg(*kept, fit.alias("m"))
 
-    strip = F.floor((F.col("by") + F.col("bh") / 2) / reach)
-    around = b.withColumn("strip", F.explode(F.array(strip - 1, strip, strip + 1)))
-    first = best(around.join(line, ["page", "strip"], "left").withColumn("position", place), *[F.first(c).alias(c) for c in own])
+    # lines go to three strips, so that all that a block meets lies where the block does
+    strip = lambda y, h: F.floor((F.col(y) + F.col(h) / 2) / reach)
     largest = line.groupBy("page").agg(F.max("w").alias("_w"), F.max("h").alias("_h"))
+    own = b.join(largest, "page", "left").withColumn("strip", strip("by", "bh"))
+    around = line.withColumn("strip", F.explode(F.array(*[strip("y", "h") + i for i in (-1, 0, 1)])))
+    # words are told apart after the shuffle, which texts go through once
+    own, around = (rows.repartition(parts, "page", "strip").withColumn(name, words(text)) for rows, name, text in ((own, "bset", "bt"), (around, "lset", "lt")))
+    first = best(own.join(around, ["page", "strip"], "left").withColumn("position", place), ["strip"], *[F.first(c).alias(c) for c in ("bw", "bh", "bsize", "_w", "_h")])
     tall = F.greatest("_w", "_h", "bw", "bh", F.lit(1.0))
     most = PLACE * 0.7 * clamp01(1 - reach / (2.5 * tall)) + TEXT
     apart = (F.col("bh") + F.col("_h")) / 2 < reach  # no other line can lie over the block
-    first = first.join(largest, "page", "left")
-    first = once(first.withColumn("done", F.col("_w").isNull() | F.coalesce(apart & (most < F.col("m.score") - NEAR), F.lit(False))).drop("_w", "_h"), "matches")
-    left = first.where("not done").withColumn("least", F.coalesce("m.score", F.lit(0.0))).drop("m")
+    first = first.withColumn("done", F.col("_w").isNull() | F.coalesce(apart & (most < F.col("m.score") - NEAR), F.lit(False)))
+    first = once(first.select("page", "ln", "bsize", "m", "done"), "matches")
+    # texts are not stored: the blocks that are left are told by their page's list, beside the lines of the page
+    wanted = first.where("not done").groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("ln", F.coalesce("m.score", F.lit(0.0))))).alias("_left"))
+    left = b.join(wanted, "page").withColumn("least", F.element_at("_left", F.col("ln"))).where("least is not null").drop("_left").withColumn("bset", words("bt"))
     # another text scores 0.82 at most, or the share that the sizes of its words allow
-    sizes = F.least(F.size("bset"), F.size("lset")) / F.greatest(F.size("bset"), F.size("lset"))
+    sizes = F.least(*map(F.size, sets)) / F.greatest(*map(F.size, sets))
     text = F.when(F.col("bt") == F.col("lt"), 1.0).otherwise(F.greatest(F.lit(0.82), sizes))
-    rest = left.join(line, "page").withColumn("position", place).where(PLACE * F.col("position") + TEXT * text >= F.col("least") - NEAR)
-    found = best(rest).withColumnRenamed("m", "_all")
+    rest = left.join(line.withColumn("lset", words("lt")), "page").withColumn("position", place).where(PLACE * F.col("position") + TEXT * text >= F.col("least") - NEAR)
+    found = best(rest, []).withColumnRenamed("m", "_all")
     joined = first.join(found, ["page", "ln"], "left").withColumn("m", F.when(F.col("done"), F.col("m")).otherwise(F.col("_all")))
     return joined.select("page", "ln", "bsize", *[F.col(f"m.{c}").alias(c) for c in ("seq", "text_score", "position", "score")])
 

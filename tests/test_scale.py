@@ -28,3 +28,13 @@ def test_matching_stores_no_texts(spark, monkeypatch):
     own = catalogue._lines(spark, SF)
     assert ocr.match(own, a.ocr_lines(own)).count() == own.count()
     assert kept and not any("string" in kind for table in kept for _, kind in table)
+
+
+def test_a_page_gets_each_named_source_once(spark, monkeypatch):
+    from quire.operators import blocks
+    from quire.plans import more
+
+    named = []
+    monkeypatch.setattr(blocks, "without_sources", lambda own, fixes, put=blocks.without_sources: named.append(fixes) or put(own, fixes))
+    assert more.q53(spark, SF).count() > 0
+    assert named[0].count() == named[0].select("page").distinct().count()

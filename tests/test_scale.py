@@ -38,3 +38,16 @@ def test_a_page_gets_each_named_source_once(spark, monkeypatch):
     monkeypatch.setattr(blocks, "without_sources", lambda own, fixes, put=blocks.without_sources: named.append(fixes) or put(own, fixes))
     assert more.q53(spark, SF).count() > 0
     assert named[0].count() == named[0].select("page").distinct().count()
+
+
+def test_few_corrections_leave_words_where_they_are(spark):
+    plan = catalogue.QUERIES["q29_corrections"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("REPARTITION_BY_NUM") <= 2 and "SortMergeJoin" not in plan
+
+
+def test_many_corrections_are_shuffled_to_the_same_result(spark, monkeypatch):
+    from quire.sources import shared
+
+    want = sorted(map(repr, catalogue.QUERIES["q29_corrections"](spark, SF).collect()))
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    assert sorted(map(repr, catalogue.QUERIES["q29_corrections"](spark, SF).collect())) == want

@@ -51,3 +51,13 @@ def test_many_corrections_are_shuffled_to_the_same_result(spark, monkeypatch):
     want = sorted(map(repr, catalogue.QUERIES["q29_corrections"](spark, SF).collect()))
     monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
     assert sorted(map(repr, catalogue.QUERIES["q29_corrections"](spark, SF).collect())) == want
+
+
+def test_a_correction_of_a_page_without_number_meets_no_page(spark):
+    from quire.operators import pages
+
+    rules = spark.createDataFrame([(0, 0, 5, ".page1__word5", " left: 1px; top: 2px; font-family: 'A'; font-size: 10px; ")], "page long, at long, word long, selector string, body string")
+    given = "seq long, scope string, class string, page long, word long, font string, size double, style string, top double, left double, spacing double"
+    each = [(1, "page-font-size", None, None, None, "A", 10.0, "normal", 1.0, 1.0, 0.0), (2, "page-font-size", None, 0, None, "A", 10.004, "normal", 2.0, 0.0, 0.5), (3, "page-font-size", None, 1, None, "A", 10.0, "normal", 8.0, 8.0, 0.0)]
+    got = pages.override_rules(rules, spark.createDataFrame(each, given)).select("left", "top", "spacing").collect()
+    assert [tuple(r) for r in got] == [(1.0, 4.0, 0.5)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.numbers import fixed
-from quire.functions.text import SPACE, decode_entities, normalise, strip_tags
+from quire.functions.text import SPACE, decode_entities, normalise, once, strip_tags
 
 from .scan import walk
 
@@ -46,27 +46,47 @@ def _number(body: F.Column, name: str) -> F.Column:
     return F.coalesce(F.when(found != "", found).cast("double"), F.lit(0.0))
 
 
+RULE = r"\.page\d+__word(\d+)\s*\{([^}]*)\}"
+SPAN = r'<span[^>]*class="[^"]*\bpage\d+__word(\d+)\b[^"]*"[^>]*>([\s\S]*?)</span>'
+
+
+def _found(column: str, pattern: str, value: str) -> list[F.Column]:
+    """i and value: arrays of the words' numbers and of what they have, in order."""
+    return [F.regexp_extract_all(column, F.lit(pattern), F.lit(i + 1)).alias(name) for i, name in enumerate(("i", value))]
+
+
+def _styles() -> list[F.Column]:
+    """A rule's (body) place and styles; what is missing is 0, normal or black."""
+    named = lambda name, default: F.coalesce(F.nullif(F.trim(F.regexp_extract("body", rf"(?:^|[;\s]){name}\s*:\s*([^;]+)", 1)), F.lit("")), F.lit(default))
+    return [*[_number(F.col("body"), css).alias(c) for c, css in (("x", "left"), ("y", "top"), ("w", "width"), ("h", "height"), ("size", "font-size"))], named("font-weight", "normal").alias("weight"), named("font-style", "normal").alias("style"), named("color", "#000000").alias("color")]
+
+
 def parse_css(pages: DataFrame) -> DataFrame:
     """Words' places and styles from page CSS (page, css): a later rule of the same word wins; what is missing is 0, normal or black."""
-    rule = r"\.page\d+__word(\d+)\s*\{([^}]*)\}"
-    rules = F.arrays_zip(F.regexp_extract_all("css", F.lit(rule), F.lit(1)).alias("i"), F.regexp_extract_all("css", F.lit(rule), F.lit(2)).alias("body"))
+    rules = F.arrays_zip(*_found("css", RULE, "body"))
     rows = pages.select("page", F.posexplode(rules).alias("at", "r")).select("page", "at", F.col("r.i").cast("int").alias("word"), F.col("r.body").alias("body"))
     last = rows.groupBy("page", "word").agg(F.max_by("body", "at").alias("body"))
-    named = lambda name, default: F.coalesce(F.nullif(F.trim(F.regexp_extract("body", rf"(?:^|[;\s]){name}\s*:\s*([^;]+)", 1)), F.lit("")), F.lit(default))
-    return last.select("page", "word", *[_number(F.col("body"), css).alias(c) for c, css in (("x", "left"), ("y", "top"), ("w", "width"), ("h", "height"), ("size", "font-size"))], named("font-weight", "normal").alias("weight"), named("font-style", "normal").alias("style"), named("color", "#000000").alias("color"))
+    return last.select("page", "word", *_styles())
 
 
 def parse_html(pages: DataFrame) -> DataFrame:
     """Words' texts from page HTML (page, html), tags stripped and entities decoded; a later span of the same word wins."""
-    span = r'<span[^>]*class="[^"]*\bpage\d+__word(\d+)\b[^"]*"[^>]*>([\s\S]*?)</span>'
-    spans = F.arrays_zip(F.regexp_extract_all("html", F.lit(span), F.lit(1)).alias("i"), F.regexp_extract_all("html", F.lit(span), F.lit(2)).alias("text"))
+    spans = F.arrays_zip(*_found("html", SPAN, "text"))
     rows = pages.select("page", F.posexplode(spans).alias("at", "r")).select("page", "at", F.col("r.i").cast("int").alias("word"), decode_entities(strip_tags(F.col("r.text"))).alias("text"))
     return rows.groupBy("page", "word").agg(F.max_by("text", "at").alias("text"))
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """Words that both the CSS and the HTML of a page (page, css, html) know."""
-    return parse_css(pages).join(parse_html(pages), ["page", "word"])
+    """Words that both the CSS and the HTML of a page (page, css, html; a row a page) know.
+
+    A page's rules and spans meet within its row: sorted by word, rules before spans, the last rule stands beside the last span."""
+    named = lambda number, kind, at, value: F.struct(number.cast("int").alias("word"), F.lit(kind).alias("kind"), at.alias("at"), value.alias("value"))
+    rules = F.transform(F.arrays_zip(*_found("css", RULE, "body")), lambda r, at: named(r["i"], 0, at, r["body"]))
+    spans = F.transform(F.arrays_zip(*_found("html", SPAN, "text")), lambda r, at: named(r["i"], 1, -at, r["text"]))
+    meet = lambda a, b: F.when((a["word"] == b["word"]) & (a["kind"] < b["kind"]), F.struct(a["word"].alias("word"), a["value"].alias("body"), b["value"].alias("inner")))
+    pairs = once(F.sort_array(F.concat(rules, spans)), lambda v: F.array_compact(F.zip_with(v, F.slice(v, 2, 1 << 30), meet)))
+    rows = pages.select("page", F.inline(pairs))
+    return rows.select("page", "word", *_styles(), decode_entities(strip_tags(F.col("inner"))).alias("text"))
 
 
 def rotations(lines: DataFrame, hints: DataFrame, near: float = 2.0) -> DataFrame:

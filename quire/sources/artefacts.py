@@ -3,24 +3,34 @@
 Rows are pages: page, image (binary), page_json, html, css, review_json. Each row becomes five files. A task writes them under a folder of its own and
 says in its commit message what belongs where. Only when all tasks have succeeded does the driver write one manifest of the moves, carry them out and
 remove it: a task that is killed, or runs twice, leaves no file in a page's place, and a driver that is lost between two moves leaves a manifest from
-which recover() goes on. A null field leaves its file out. Messages hold a page's number and an attempt, so what comes to the driver is small."""
+which recover() goes on. A null field leaves its file out.
+With .option("packed", True) HTML and CSS, which repeat themselves, are kept as gzip, under their name and .gz: as servers send them; read() unpacks them. Messages hold a page's number and an attempt, so what comes to the driver is small."""
 
 from __future__ import annotations
 
+import gzip
 import json
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .shared import small_batches
+
 #: Column and place of each artefact; pages count from 1 in names, but for the page's own JSON.
 PLACES = {"image": "images/page-{n}.png", "page_json": "pages/{i}.json", "html": "review/page-{n}.html", "css": "review/style/page-{n}.css", "review_json": "review/page-{n}.json"}
+PACKED = ("html", "css")
 STAGED, MANIFESTS = "_staged", "_manifests"
+#: Files that the driver moves at once.
+MOVERS = 16
 
 
 @dataclass
@@ -30,12 +40,14 @@ class Written(WriterCommitMessage):
 
 
 def _place(column: str, page: int) -> str:
-    return PLACES[column].format(i=page, n=page + 1)
+    """column: one of PLACES, with .gz behind it where its file is packed."""
+    name, dot, suffix = column.partition(".")
+    return PLACES[name].format(i=page, n=page + 1) + dot + suffix
 
 
 class Writer(DataSourceWriter):
-    def __init__(self, path: str) -> None:
-        self.path, self.run = path, uuid.uuid4().hex
+    def __init__(self, path: str, packed: bool = False) -> None:
+        self.path, self.packed, self.run = path, packed, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[Row]) -> Written:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -46,10 +58,13 @@ class Writer(DataSourceWriter):
                 value = row[column]
                 if value is None:
                     continue
+                value = value.encode() if isinstance(value, str) else bytes(value)
+                if self.packed and column in PACKED:
+                    column, value = f"{column}.gz", gzip.compress(value, 1, mtime=0)
                 target = f"{root}/{STAGED}/{attempt}/{_place(column, row['page'])}"
                 store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(target) as out:
-                    out.write(value.encode() if isinstance(value, str) else bytes(value))
+                with store.open_output_stream(target, compression=None) as out:
+                    out.write(value)
                 held.append(column)
             pages.append((row["page"], tuple(held)))
         return Written(attempt, tuple(pages))
@@ -80,12 +95,16 @@ def _finish(store: fs.FileSystem, root: str, manifest: str) -> None:
         listed = json.loads(f.read())
     for place in {p.rsplit("/", 1)[0] for p in PLACES.values()}:
         store.create_dir(f"{root}/{place}", recursive=True)
-    for attempt, pages in listed:
-        for page, columns in pages:
-            for column in columns:
-                source = f"{root}/{STAGED}/{attempt}/{_place(column, page)}"
-                if store.get_file_info(source).is_file:
-                    store.move(source, f"{root}/{_place(column, page)}")
+
+    def move(each: tuple[str, str]) -> None:
+        attempt, place = each
+        source = f"{root}/{STAGED}/{attempt}/{place}"
+        if store.get_file_info(source).is_file:
+            store.move(source, f"{root}/{place}")
+
+    with ThreadPoolExecutor(MOVERS) as pool:
+        for attempt, pages in listed:
+            deque(pool.map(move, [(attempt, _place(column, page)) for page, columns in pages for column in columns]), maxlen=0)
     _drop(store, f"{root}/{STAGED}/{manifest.rsplit('/', 1)[1].removesuffix('.json')}")
     store.delete_file(manifest)
 
@@ -111,16 +130,33 @@ class PageArtefacts(DataSource):
         missing = {"page", *PLACES} - set(schema.names)
         if missing:
             raise ValueError(f"columns are missing: {', '.join(sorted(missing))}")
-        return Writer(self.options["path"])
+        return Writer(self.options["path"], str(self.options.get("packed", "false")).lower() == "true")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """name and content of the artefacts under path, packed ones unpacked, a file at a time."""
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    held = files.select(F.regexp_extract("path", "((?:images|pages|review)/.*)$", 1).alias("name"), "content")
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*batch.columns):
+                name, content = name.as_py(), content.as_py()
+                if name.endswith(".gz"):
+                    name, content = name.removesuffix(".gz"), gzip.decompress(content)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["name", "content"])
+
+    return held.mapInArrow(unpacked, "name string, content binary")
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PageArtefacts)
 
 
-def write(pages: DataFrame, path: str) -> None:
+def write(pages: DataFrame, path: str, packed: bool = False) -> None:
     """Writes the artefacts of pages (page, and those columns of PLACES that there are) under path."""
     register(pages.sparkSession)
     kinds = {c: "binary" if c == "image" else "string" for c in PLACES}
     full = pages.select(F.col("page").cast("long"), *[(F.col(c) if c in pages.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
-    full.write.format("page_artefacts").mode("append").save(path)
+    full.write.format("page_artefacts").option("packed", packed).mode("append").save(path)

@@ -96,7 +96,12 @@ def classified(blocks: DataFrame, results: DataFrame) -> DataFrame:
     return blocks.join(found, ["page", "id"], "left").withColumns({"tag": F.coalesce("_tag", "tag"), "confidence": F.coalesce("_confidence", "confidence")}).drop("_tag", "_confidence")
 
 
+def named_sources(fixes: DataFrame) -> DataFrame:
+    """page and id (text), each once, of the blocks whose words fixes name as their sources, as of without_sources()."""
+    parts = fixes.select("page", F.explode("sources").alias("s")).select("page", F.regexp_extract("s", "^word:(.+):[^:]*:[^:]*$", 1).alias("id"))
+    return parts.where("id <> ''").distinct()
+
+
 def without_sources(blocks: DataFrame, fixes: DataFrame) -> DataFrame:
     """blocks (page, id text) but for those whose words a fix names as its sources (sources: array of word:block:line:word; a block's id may hold colons)."""
-    parts = fixes.select("page", F.explode("sources").alias("s")).select("page", F.regexp_extract("s", "^word:(.+):[^:]*:[^:]*$", 1).alias("id")).where("id <> ''").distinct()
-    return blocks.join(parts, ["page", "id"], "left_anti")
+    return blocks.join(named_sources(fixes), ["page", "id"], "left_anti")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quire.operators import blocks, fixes, profiles
 from quire.plans import sql as q
-from quire.plans.catalogue import _toward, _words, query
+from quire.plans.catalogue import _lines, _toward, query
 from quire.plans.final import ORACLES, QUERIES
 from quire.plans.more import pick
 from quire.sources import adapters as a
+from quire.sources.shared import sized
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -70,7 +71,7 @@ ends AS (SELECT * FROM states QUALIFY row_number() OVER (PARTITION BY page, id O
 @query("q37_fix_application", q.with_(q.TOKENS, q.LINES, CORR, HELD, recursive=True) + f"SELECT page, id, {', '.join(NAMES)} FROM ends WHERE alive AND (coalesce(tag = 'img', false) OR trim(coalesce(text, '')) <> '' AND coalesce(w, 0) >= 1 AND coalesce(h, 0) >= 1)")
 def q37(s, d):
     ln = F.col("ln")
-    lines = a.lines(_words(s, d)).withColumns({"id": ln.cast("long"), "seq": ln.cast("long")})
+    lines = _lines(s, d).withColumns({"id": ln.cast("long"), "seq": ln.cast("long")})
     crop = {f"crop_{c}": F.when(ln % 13 == 5, F.col(c)) for c in "xywh"}
     held = lines.withColumns({
         "tag": F.when(ln % 13 == 5, "img").otherwise("p"), "font": F.lit("Arial"), "weight": F.lit("normal"), "color": F.lit("#111111"), "confidence": F.lit(0.9), "indented": ln % 4 == 0, "text_indent": F.lit(0.0), "padding_left": F.lit(0.0),
@@ -79,8 +80,8 @@ def q37(s, d):
     given = a.corrections(a.table(s, d, "events"))
     # groups name the blocks that their words came from
     sources = given.where("type = 'create-group'").select("page", F.array(F.concat(F.lit("word:"), ((F.col("seq") / 9).cast("long") % 31).cast("string"), F.lit(":0:0"))).alias("sources"))
-    left = blocks.without_sources(held.select("page", F.col("id").cast("string").alias("id")), sources).select("page", F.col("id").cast("long").alias("id"), F.lit(False).alias("suppressed"))
-    marked = held.join(left, ["page", "id"], "left").withColumn("suppressed", F.col("suppressed").isNull())
+    named = blocks.named_sources(sources).select("page", F.col("id").try_cast("long").alias("id"), F.lit(True).alias("suppressed")).where("id IS NOT NULL")
+    marked = held.join(sized(named, "named"), ["page", "id"], "left").withColumn("suppressed", F.col("suppressed").isNotNull())
     return fixes.applied(marked, given)
 
 

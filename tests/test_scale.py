@@ -61,3 +61,71 @@ def test_a_correction_of_a_page_without_number_meets_no_page(spark):
     each = [(1, "page-font-size", None, None, None, "A", 10.0, "normal", 1.0, 1.0, 0.0), (2, "page-font-size", None, 0, None, "A", 10.004, "normal", 2.0, 0.0, 0.5), (3, "page-font-size", None, 1, None, "A", 10.0, "normal", 8.0, 8.0, 0.0)]
     got = pages.override_rules(rules, spark.createDataFrame(each, given)).select("left", "top", "spacing").collect()
     assert [tuple(r) for r in got] == [(1.0, 4.0, 0.5)]
+
+
+def test_words_are_numbered_on_their_page_without_a_sort(spark):
+    docs = spark.createDataFrame([(1, "a b\n\n  c"), (1, "d  e"), (2, None), (3, ""), (4, "y ä")], "doc_id long, text string")
+    got = a.numbered(docs)
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["page"], r["word"], r["ln"], r["pos"], r["text"]) for r in got.collect()) == [(1, 0, 0, 0, "a"), (1, 1, 0, 0, "d"), (1, 2, 0, 1, "b"), (1, 3, 0, 2, "e"), (1, 4, 2, 2, "c"), (4, 0, 0, 0, "y"), (4, 1, 0, 1, "ä")]
+    assert sorted(map(repr, got.drop("word").collect())) == sorted(map(repr, a.words(docs).collect()))
+
+
+def test_more_text_is_dealt_out_to_more_tasks(spark, monkeypatch):
+    docs = a.table(spark, SF, "documents")
+    few = a.dealt(docs).rdd.getNumPartitions()
+    monkeypatch.setattr(a, "TASK_BYTES", 1000)
+    assert a.dealt(docs).rdd.getNumPartitions() > few
+
+
+def test_words_meet_regions_and_margins_without_a_sort(spark):
+    from quire.operators import claim, lines
+
+    words = catalogue._words(spark, SF)
+    for found in (claim.claim(words, catalogue._boxes(spark, SF)), words.groupBy("page").count()):
+        assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+    counted = lines.left_margin(words)._jdf.queryExecution().executedPlan().toString()
+    assert counted.count("HashAggregate") >= 2
+
+
+def test_walked_words_are_shuffled_as_texts_alone(spark):
+    from quire.operators import lines
+
+    plan = lines.median_lines(catalogue._words(spark, SF).select("page", "ln", "pos", "x", "y", "h"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_final_pages_write_no_words_that_no_region_claims(spark, monkeypatch):
+    from quire.operators import final
+    from quire.plans import final as plans
+
+    kept = {}
+    monkeypatch.setattr(final, "once", lambda df, label, put=final.once: kept.setdefault(label, put(df, label)))
+    plans._final(spark, SF, looks=False)
+    words = catalogue._words(spark, SF).count()
+    assert kept and all(table.count() < words / 2 for table in kept.values())
+
+
+def test_packed_artefacts_are_smaller_and_read_as_they_were(spark, tmp_path):
+    from quire.sources import artefacts
+
+    pages = spark.createDataFrame([(0, b"png", "{}", "<p>é</p>" * 1000, None, "[]")], "page long, image binary, page_json string, html string, css string, review_json string")
+    path = f"file://{tmp_path}/packed"
+    artefacts.write(pages, path, packed=True)
+    assert (tmp_path / "packed/review/page-1.html.gz").stat().st_size < 1000
+    got = {r["name"]: bytes(r["content"]) for r in artefacts.read(spark, path).collect()}
+    assert got == {"images/page-1.png": b"png", "pages/0.json": b"{}", "review/page-1.html": ("<p>é</p>" * 1000).encode(), "review/page-1.json": b"[]"}
+
+
+def test_rules_and_spans_of_a_page_meet_without_a_shuffle(spark):
+    from quire.operators import words
+
+    page = spark.createDataFrame([(1, ".page1__word0{left:1px}", '<span class="page1__word0">a</span>')], "page long, css string, html string")
+    assert "Exchange" not in words.parse(page)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_meet_few_named_sources_where_they_are(spark):
+    from quire.plans import fixes
+
+    plan = fixes.q37(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan

@@ -644,3 +644,11 @@ def test_near_duplicates_are_the_components_of_operator_three(spark, docs, odd):
     ids = [r["doc_id"] for r in rows]
     named = {r["component_id"] for r in simhash.simhash_dedup(odd).collect()}
     assert len(ids) == len(set(ids)) and set(ids) == named
+
+
+def test_the_language_model_learns_from_no_sample(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(langmodel, "materialise", lambda df, label, put=langmodel.materialise: kept.append((label, put(df, label))) or kept[-1][1])
+    docs = spark.createDataFrame([(i, f"some words {i % 7} of a text") for i in range(200)], "doc_id long, text string")
+    assert langmodel.score(docs).count() == 200
+    assert {label for label, _ in kept} == {"counts", "vocabulary", "blocks", "seen"}

@@ -8,21 +8,28 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 #: The keys under which recognisers give their text, the first that holds any wins.
 TEXT_KEYS = ("latex", "text", "formula", "result", "rec_text", "content")
 
 
 def strict(text: Column) -> Column:
-    """VARIANT: a text that is JSON from end to end; the parser itself stops after the first value, so one is put behind it."""
+    """VARIANT: a text that is JSON from end to end; the parser itself stops after the first value, so one is put behind it.
+
+    A text is parsed once, and only if it begins as a value does: for others the parser would have to raise and catch an error a row."""
     both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"end of text"]')))
-    whole = (F.try_variant_get(both, "$[1]", "string") == "end of text") & F.try_variant_get(both, "$[2]", "variant").isNull()
-    return F.when(whole, F.try_variant_get(both, "$[0]", "variant"))
+    whole = lambda v: (F.try_variant_get(v, "$[1]", "string") == "end of text") & F.try_variant_get(v, "$[2]", "variant").isNull()
+    return F.when(text.rlike(r'^[ \t\r\n]*[\[{"\-0-9tfn]'), once(both, lambda v: F.when(whole(v), F.try_variant_get(v, "$[0]", "variant"))))
 
 
 def recovered(output: Column) -> Column:
-    """VARIANT: the output as JSON; where it is none as a whole, its last line that begins with a brace and is JSON; null without one."""
-    lines = F.filter(F.transform(F.split(output, "\r?\n", -1), lambda v: F.trim(v)), lambda v: v.startswith("{") & strict(v).isNotNull())
-    return F.coalesce(strict(output), strict(F.element_at(F.when(F.size(lines) > 0, lines), -1)))
+    """VARIANT: the output as JSON; where it is none as a whole, its last line that begins with a brace and is JSON; null without one.
+
+    Lines that begin and end with a brace are parsed from the last one back, until one is JSON."""
+    lines = F.filter(F.transform(F.split(output, "\r?\n", -1), lambda v: F.trim(v)), lambda v: v.startswith("{") & F.rtrim(v, F.lit(" \t\r")).endswith("}"))
+    last = F.aggregate(F.reverse(lines), F.lit(None).cast("variant"), lambda found, v: F.coalesce(found, strict(v)))
+    return F.coalesce(strict(output), last)
 
 
 def _text(value: object) -> str:

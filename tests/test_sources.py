@@ -129,3 +129,14 @@ def test_json_is_recovered(spark):
     texts = ['{"raw": "a"}', 'x\r\n {"raw": "b"} \n{"raw": \n', "nothing", "", None, '{"raw": "c"}\n{"raw": "d"}\n[1]']
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
     assert [r[0] for r in rows.select(nested.text_of(nested.recovered(F.col("t")))).collect()] == ["a", "b", None, None, None, "d"]
+
+
+def test_an_output_is_parsed_once(spark):
+    rows = spark.createDataFrame([("x\n{\"raw\": 1}",)], "t string").select(nested.recovered(F.col("t")).alias("v"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("try_parse_json") == 2  # as a whole, and a line
+
+
+def test_what_begins_or_ends_like_json_is_told_by_the_parser(spark):
+    texts = [' \t\r\n{"raw": "a"}\n', "true", "-1", '"s"', "[1] x", "{}]", 'x\n{"raw": "b"} \t\r\n{"raw": }\n{', "+1", "nul", "\ufeff{}", "\x0b{}"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in rows.select(F.to_json(nested.recovered(F.col("t")))).collect()] == ['{"raw":"a"}', "true", "-1", '"s"', None, None, '{"raw":"b"}', None, None, None, None]

@@ -129,3 +129,16 @@ def test_lines_meet_few_named_sources_where_they_are(spark):
 
     plan = fixes.q37(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_common_looks_equal_common_declarations_without_a_join(spark):
+    from quire.operators import styles
+    from quire.plans import more
+
+    items = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "A", "x"), (2, 2, "a", None), (2, 3, "b", None), (3, 4, None, "y"), (3, 5, "c", "y"), (None, 6, "d", "z"), (None, 6, "d", "z")], "page long, item long, font string, color string")
+    given = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in (("font", "font"), ("paint", "color"))]))
+    want = styles.common_declarations(items.where("page is not null").select("page", "item", given.alias("g")).select("page", "item", "g.*"), ["page"])
+    got = styles.common_looks(items, ["page"], ["font", "color"], {"font": F.col("font"), "paint": F.col("color")})
+    assert sorted(map(repr, got.where("page is not null").collect())) == sorted(map(repr, want.collect()))
+    assert sorted(tuple(r)[1:] for r in got.where("page is null").collect()) == [("font", "d"), ("paint", "z")]
+    assert "Join" not in more.q49(spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -142,3 +142,11 @@ def test_common_looks_equal_common_declarations_without_a_join(spark):
     assert sorted(map(repr, got.where("page is not null").collect())) == sorted(map(repr, want.collect()))
     assert sorted(tuple(r)[1:] for r in got.where("page is null").collect()) == [("font", "d"), ("paint", "z")]
     assert "Join" not in more.q49(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_one_text_are_not_taken_apart(spark):
+    texts = ["a  b", " x y z u v w", "\n\n", "  ", "a\r\n ä  b\t c", "q w e r t y  ", "q  w e r t", "", None]
+    docs = spark.createDataFrame([(i if i % 4 else 3, t) for i, t in enumerate(texts + [f"{a}\n{b}" for a in texts for b in texts])], "doc_id long, text string")
+    want, got = a.lines(a.words(docs)), a.document_lines(docs)
+    assert got.schema == want.schema and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "array_sort(" not in got._jdf.queryExecution().executedPlan().toString()

@@ -150,3 +150,11 @@ def test_lines_of_one_text_are_not_taken_apart(spark):
     want, got = a.lines(a.words(docs)), a.document_lines(docs)
     assert got.schema == want.schema and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert "array_sort(" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_regions_grids_groups_and_runs_shuffle_texts_and_regions_alone(spark):
+    from quire.plans import more
+
+    most = {"q16_alignment": 3, "q35_table_grid": 2, "q66_grouped_words": 1, "q45_html_runs": 1}
+    for name, n in most.items():
+        assert more.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= n, name

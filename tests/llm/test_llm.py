@@ -652,3 +652,21 @@ def test_the_language_model_learns_from_no_sample(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"some words {i % 7} of a text") for i in range(200)], "doc_id long, text string")
     assert langmodel.score(docs).count() == 200
     assert {label for label, _ in kept} == {"counts", "vocabulary", "blocks", "seen"}
+
+
+def test_tokens_are_scored_in_the_same_few_arrays(monkeypatch):
+    """A call takes any number of tokens, in bounded memory; rows are counted by the sums of their cells, not a second time."""
+    texts = ["a b c a b", "b c d " * 50, "a b c d e", ""]
+    model, hashes, place, seen, begun = small_model(texts)
+    alone = np.zeros_like(seen)
+    langmodel.gathered(hashes, place, 18, alone)
+    assert (alone == seen).all() and (alone.reshape(-1, 64).sum(axis=1) == begun).all()
+    context, leaf = langmodel.contexts(hashes, place), langmodel.leaf_of(hashes)
+    want = np.concatenate([model.log_probability(context[:, t : t + 1], leaf[t : t + 1]) for t in range(len(leaf))])
+    taken, exp = [], np.exp
+    monkeypatch.setattr(langmodel, "BATCH", 64)
+    monkeypatch.setattr(np, "exp", lambda v, **more: taken.append(len(v)) or exp(v, **more))
+    got = model.log_probability(context, leaf)
+    assert len(got) == len(leaf) > 128 and max(taken) == 64
+    assert got == pytest.approx(want, abs=1e-5)
+    assert len(model.log_probability(context[:, :0], leaf[:0])) == 0

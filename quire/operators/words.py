@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.numbers import fixed
-from quire.functions.text import SPACE, decode_entities, normalise, once, strip_tags
+from quire.functions.text import ENTITIES, SPACE, decode_entities, normalise, strip_tags
+from quire.sources.shared import small_batches
 
 from .scan import walk
 
@@ -76,17 +81,83 @@ def parse_html(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page", "word").agg(F.max_by("text", "at").alias("text"))
 
 
+#: A rule and a span as word_rules() writes them, or as anything else that RULE and SPAN take; the last group of each is what is to be read by parts.
+_NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?)"
+_PLACED = "".join(f" {css}: {_NUMBER}px;" for css in ("left", "top", "width", "height", "font-size"))
+_STYLED = r" font-family: [^;:{}]*; font-weight: ([^;:{}\s]+); font-style: ([^;:{}\s]+); color: (#[0-9A-Fa-f]+|rgba?\([^;:{}]*\));[^{}]*"
+_RULES = re.compile(r"\.page\d+__word(\d+)\s*\{(?:" + _PLACED + _STYLED + r"|([^}]*))\}", re.A)
+_SPANS = re.compile(r'<span(?: class="page__word page\d+__word(\d+)" data-word-index="\d+">([^<]*)|[^>]*class="[^"]*\bpage\d+__word(\d+)\b[^"]*"[^>]*>([\s\S]*?))</span>', re.A)
+_NUMBERS = [re.compile(rf"(?:^|[;\s]){css}\s*:\s*{_NUMBER}", re.A) for css in ("left", "top", "width", "height", "font-size")]
+_NAMES = [(re.compile(rf"(?:^|[;\s]){css}\s*:\s*([^;]+)", re.A), default) for css, default in (("font-weight", "normal"), ("font-style", "normal"), ("color", "#000000"))]
+_TAG = re.compile("<[^>]*>")
+_ENTITY = re.compile("&#(?:x([0-9a-fA-F]{1,6})|([0-9]{1,7}));")
+#: Words of a batch that parse() hands on.
+_AT_ONCE = 10_000
+
+
+def _read(body: str) -> tuple[str, ...]:
+    """A rule's place and styles, whatever their order; what is missing is 0, normal or black."""
+    numbers = [m.group(1) if (m := r.search(body)) else "0" for r in _NUMBERS]
+    return (*numbers, *[(m.group(1).strip(" ") if (m := r.search(body)) else "") or default for r, default in _NAMES])
+
+
+def _entity(m: re.Match) -> str:
+    code = int(m.group(1), 16) if m.group(1) else int(m.group(2))
+    return m.group(0) if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF else chr(code)
+
+
+def _shown(text: str) -> str:
+    """strip_tags() and decode_entities() of a span's inside."""
+    text = _TAG.sub("", text)
+    if "&#" in text:
+        text = _ENTITY.sub(_entity, text)
+    for entity, char in ENTITIES:
+        text = text.replace(entity, char)
+    return text
+
+
+def _page_words(css: str, html: str) -> tuple[Sequence[int], list[Sequence[str]], Sequence[str]]:
+    """Numbers, styles (a sequence a property) and texts of the words that rules and spans both have; of several the last."""
+    rules, spans = list(zip(*_RULES.findall(css))), list(zip(*_SPANS.findall(html)))
+    if not rules or not spans:
+        return [], [[]] * 8, []
+    numbers, named, inside = list(map(int, rules[0])), spans[0], spans[1]
+    if not all(named):
+        named, inside = map(str.__add__, named, spans[2]), list(map(str.__add__, inside, spans[3]))
+    named = list(map(int, named))
+    styles = rules[1:9]
+    if not all(rules[1]):
+        styles = list(zip(*[r[:8] if r[0] else _read(r[8]) for r in zip(*rules[1:])]))
+    if numbers != named or len(set(numbers)) < len(numbers):
+        last, texts = dict(zip(numbers, zip(*styles))), dict(zip(named, inside))
+        numbers = [n for n in last if n in texts]
+        styles, inside = list(zip(*[last[n] for n in numbers])) or [[]] * 8, [texts[n] for n in numbers]
+    return numbers, styles, [_shown(v) if "&" in v or "<" in v else v for v in inside]
+
+
 def parse(pages: DataFrame) -> DataFrame:
-    """Words that both the CSS and the HTML of a page (page, css, html; a row a page) know.
-
-    A page's rules and spans meet within its row: sorted by word, rules before spans, the last rule stands beside the last span."""
-    named = lambda number, kind, at, value: F.struct(number.cast("int").alias("word"), F.lit(kind).alias("kind"), at.alias("at"), value.alias("value"))
-    rules = F.transform(F.arrays_zip(*_found("css", RULE, "body")), lambda r, at: named(r["i"], 0, at, r["body"]))
-    spans = F.transform(F.arrays_zip(*_found("html", SPAN, "text")), lambda r, at: named(r["i"], 1, -at, r["text"]))
-    meet = lambda a, b: F.when((a["word"] == b["word"]) & (a["kind"] < b["kind"]), F.struct(a["word"].alias("word"), a["value"].alias("body"), b["value"].alias("inner")))
-    pairs = once(F.sort_array(F.concat(rules, spans)), lambda v: F.array_compact(F.zip_with(v, F.slice(v, 2, 1 << 30), meet)))
-    rows = pages.select("page", F.inline(pairs))
-    return rows.select("page", "word", *_styles(), decode_entities(strip_tags(F.col("inner"))).alias("text"))
+    """Words that both the CSS and the HTML of a page (page, css, html; a row a page) know: parse_css() and parse_html() met by word.
+
+    A page is read once in each, in its row. Rules as word_rules() writes them are taken by one pattern, others declaration by declaration."""
+    small_batches(pages.sparkSession)
+    kind = pages.schema["page"].dataType
+    names = ["page", "word", "x", "y", "w", "h", "size", "weight", "style", "color", "text"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [[] for _ in names]
+            for i, (css, html) in enumerate(zip(batch["css"], batch["html"])):
+                if css.is_valid and html.is_valid:
+                    numbers, styles, texts = _page_words(css.as_py(), html.as_py())
+                    for column, more in zip(held, (repeat(i, len(numbers)), numbers, *styles, texts)):
+                        column.extend(more)
+                if held[0] and (len(held[0]) >= _AT_ONCE or i + 1 == len(batch)):
+                    at, number, *places, weight, style, color, text = held
+                    columns = [batch["page"].take(pa.array(at)), pa.array(number, pa.int32()), *[pa.array(p).cast(pa.float64()) for p in places], *[pa.array(c) for c in (weight, style, color, text)]]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    held = [[] for _ in names]
+
+    return pages.select("page", "css", "html").mapInArrow(read, f"page {kind.simpleString()}, word int, x double, y double, w double, h double, size double, weight string, style string, color string, text string")
 
 
 def rotations(lines: DataFrame, hints: DataFrame, near: float = 2.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,18 @@ def test_what_begins_or_ends_like_json_is_told_by_the_parser(spark):
     texts = [' \t\r\n{"raw": "a"}\n', "true", "-1", '"s"', "[1] x", "{}]", 'x\n{"raw": "b"} \t\r\n{"raw": }\n{', "+1", "nul", "\ufeff{}", "\x0b{}"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
     assert [r[0] for r in rows.select(F.to_json(nested.recovered(F.col("t")))).collect()] == ['{"raw":"a"}', "true", "-1", '"s"', None, None, '{"raw":"b"}', None, None, None, None]
+
+
+def test_the_driver_gets_no_list_of_files(spark, tmp_path):
+    writer = artefacts.Writer(f"file://{tmp_path}/few")
+    row = lambda p: dict(zip(["page", *artefacts.PLACES], [p, b"i", "j", "h", "c", None]))
+    sizes = [len(pickle.dumps(writer.write(map(row, range(n))))) for n in (1, 500)]
+    assert sizes[0] == sizes[1]
+    path, listing = f"file://{tmp_path}/own", f"file://{tmp_path}/lists"
+    for n in (7, 3):  # the second run writes three of the pages again
+        artefacts.write(spark.range(n).select(F.col("id").alias("page"), F.lit(f"é{n}").alias("html"), F.when(F.col("id") % 2 == 0, "j").alias("page_json")), path, packed=True, listing=listing)
+    got = artefacts.read(spark, path, listing)
+    assert "binaryFile" not in got._jdf.queryExecution().toString().replace("BinaryFile", "binaryFile")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, artefacts.read(spark, path).collect())) and got.count() == 11
+    assert got.where("name = 'review/page-3.html'").first()["content"].decode() == "é3" and got.where("name = 'review/page-4.html'").first()["content"].decode() == "é7"
+    assert not [f for f in files(tmp_path / "own") if f.startswith("_")]

@@ -150,3 +150,22 @@ def test_pages_without_words_or_boxes(spark):
 def test_registry_of_nothing(spark):
     rows = spark.createDataFrame([("f", "a", 1)], "prefix string, css string, seq long")
     assert [tuple(r) for r in styles.style_ids(rows, None).collect()] == [("f", "a", 1)]
+
+
+def test_override_rules_are_read_once_whatever_they_look_like(spark):
+    css = [
+        ".page1__word0 { left: 1.5px; top: 2px; width: 3px; height: 4px; font-size: 12px; font-family: 'A', serif; font-weight: bold; font-style: normal; color: rgb(1, 2, 3); transform-origin: top left; transform: rotate(90deg); }",
+        ".page1__word1{top:1px;\n\tLEFT : 9px ;font-size:12px;font-family:\"a\";top:7px;color:;x:y:z;letter-spacing:2px}", ".page1__word2 { left: 1px; left: 4px; top: 5; top: 6px; font-family: a; font-size: 12px; left: }", ".page1__word3 { top: 5px; font-family: a; font-size: 12px; }", ".page1__word4 { left: 1px; top: 2px; font-family: a }", ".page01__word5 { }",
+    ]
+    given = "seq long, scope string, class string, page long, word long, font string, size double, style string, top double, left double, spacing double"
+    moved = lambda space: spark.createDataFrame([(1, "book-font-size", None, None, None, "a", 12.0, "normal", 1.0, 2.0, space)], given)
+    rules = pages.rule_parts(spark.createDataFrame([(0, "\n".join(css))], "page long, css string"))
+    assert [(r["at"], r["word"], r["selector"]) for r in rules.orderBy("at").collect()] == [(i, i, f".page1__word{i}" if i < 5 else ".page01__word5") for i in range(6)]
+    rest = " width: 3px; height: 4px; font-size: 12px; font-family: 'A', serif; font-weight: bold; font-style: normal; color: rgb(1, 2, 3); transform-origin: top left; transform: rotate(90deg);"
+    for space, (first, second) in ((0.0, ("", "2px")), (0.5, (" letter-spacing: 0.5px;", "0.5px"))):
+        found = pages.override_rules(rules, moved(space))
+        assert [(r["word"], r["left"], r["top"], r["css"]) for r in found.orderBy("at").collect()] == [
+            (0, 3.5, 3.0, f".page1__word0 {{ left: 3.5px; top: 3px;{rest}{first} }}"), (1, 11.0, 8.0, f'.page1__word1 {{ top: 8px; left: 11px; font-size: 12px; font-family: "a"; x: y:z; letter-spacing: {second}; }}'),
+            (2, 6.0, 7.0, f".page1__word2 {{ top: 7px; font-family: a; font-size: 12px;{first} }}"),
+        ]
+        assert "regexp_extract(" not in found._jdf.queryExecution().optimizedPlan().toString()

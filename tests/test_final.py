@@ -168,4 +168,5 @@ def test_override_rules_are_read_once_whatever_they_look_like(spark):
             (0, 3.5, 3.0, f".page1__word0 {{ left: 3.5px; top: 3px;{rest}{first} }}"), (1, 11.0, 8.0, f'.page1__word1 {{ top: 8px; left: 11px; font-size: 12px; font-family: "a"; x: y:z; letter-spacing: {second}; }}'),
             (2, 6.0, 7.0, f".page1__word2 {{ top: 7px; font-family: a; font-size: 12px;{first} }}"),
         ]
-        assert "regexp_extract(" not in found._jdf.queryExecution().optimizedPlan().toString()
+        # no condition makes a rule's parts again
+        assert not [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter " in line and "regexp_" in line]

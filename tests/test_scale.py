@@ -158,3 +158,16 @@ def test_regions_grids_groups_and_runs_shuffle_texts_and_regions_alone(spark):
     most = {"q16_alignment": 3, "q35_table_grid": 2, "q66_grouped_words": 1, "q45_html_runs": 1}
     for name, n in most.items():
         assert more.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= n, name
+
+
+def test_affected_pages_make_a_page_once_and_shuffle_texts_alone(spark):
+    from quire.operators import pages
+    from quire.plans import more
+
+    plan = more.q46b(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 1
+    begin, end = pages.OVERRIDES
+    sheets = spark.createDataFrame([(0, "a\n"), (1, "b\n"), (2, f"c\n\n{begin}\nx\n{end}\n"), (3, f"d\n\n{begin}\nx\n{end}\n"), (4, f"e\n\n{begin}\nx\n{end}\n"), (5, "\n"), (6, None)], "page long, css string")
+    given = spark.createDataFrame([(1, 0, "y"), (2, 0, "x"), (3, 0, "y"), (5, 1, "z"), (5, 0, "y"), (9, 0, "y")], "page long, at long, css string")
+    want = sorted(r["page"] for r in pages.changed_pages(sheets, pages.with_overrides(sheets, given)).collect())
+    assert sorted(r["page"] for r in pages.changed_by(sheets, given).collect()) == want == [1, 3, 4, 5]

@@ -171,3 +171,14 @@ def test_affected_pages_make_a_page_once_and_shuffle_texts_alone(spark):
     given = spark.createDataFrame([(1, 0, "y"), (2, 0, "x"), (3, 0, "y"), (5, 1, "z"), (5, 0, "y"), (9, 0, "y")], "page long, at long, css string")
     want = sorted(r["page"] for r in pages.changed_pages(sheets, pages.with_overrides(sheets, given)).collect())
     assert sorted(r["page"] for r in pages.changed_by(sheets, given).collect()) == want == [1, 3, 4, 5]
+
+
+def test_claimed_words_of_final_pages_are_written_once(spark, monkeypatch):
+    from quire.operators import final
+    from quire.plans import final as plans
+
+    walked = []
+    monkeypatch.setattr(final, "_lined", lambda words, put=final._lined: walked.append(words) or put(words))
+    pages, _ = plans._final(spark, SF)
+    assert len(walked) == 1 and any("-inside" in f for f in walked[0].inputFiles()) and "posexplode" not in walked[0]._jdf.queryExecution().toString()
+    assert not [line for line in pages._jdf.queryExecution().optimizedPlan().toString().splitlines() if r"^\s+|\s+$" in line]
